@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import records
+from . import packing, records, word_shuffle
 from .common import default_tokenizer, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), default_tokenizer(BYTE_BPE))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    docs = table(spark, sf_dir, "documents")
+    return word_shuffle.encode(docs, default_tokenizer(MULTI_BPE), PATTERN, word_shuffle._digest, word_shuffle.DIGEST)
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), default_tokenizer(BYTE_BPE))
 
 
 def queries() -> dict:
     return {
+        "op4_packing": op4_packing,
+        "op5_byte_bpe": op5_byte_bpe,
         "op6_token_records": op6_token_records,
     }
 
