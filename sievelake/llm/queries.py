@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, records, word_shuffle
+from . import lines, packing, records, word_shuffle
 from .common import default_tokenizer, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+OP2_SQL = """
+WITH l AS (
+  SELECT doc_id, n, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), k AS (
+  SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), j AS (
+  SELECT l.doc_id, l.n, l.line, k.key IS NOT NULL AND l.doc_id <> k.keeper AS gone FROM l LEFT JOIN k ON l.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), default_tokenizer(BYTE_BPE))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -30,6 +56,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op4_packing": op4_packing,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_token_records": op6_token_records,
@@ -37,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL}
