@@ -87,6 +87,17 @@ def token_starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return start[:n]
 
 
+def word_starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+    """Flags of the characters that start a run of letters and digits, a run of white space, or any other character."""
+    kind = class_table()[points]
+    kind = np.where(kind == NUMBER, LETTER, kind)
+    start = kind == OTHER
+    start[1:] |= kind[1:] != kind[:-1]
+    start[0] = True
+    start[doc_starts] = True
+    return start
+
+
 @dataclass
 class Words:
     """Pre-tokens of a batch of texts: codes[i] names the distinct word of pre-token i."""
@@ -151,8 +162,8 @@ def distinct_keys(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes, at
 
 
-def split_bytes(raw: list[bytes]) -> Words:
-    """Pre-tokens of texts (UTF-8) and the distinct words among them."""
+def split_bytes(raw: list[bytes], starts=token_starts, drop_space: bool = False) -> Words:
+    """Pre-tokens of texts (UTF-8) and the distinct words among them, those of white space left out if asked."""
     data = b"".join(raw)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     if not data:
@@ -167,11 +178,16 @@ def split_bytes(raw: list[bytes]) -> Words:
     ends = np.cumsum(sizes)
     doc_byte = (ends - sizes)[sizes > 0]
     doc_char = doc_byte if lead is None else np.searchsorted(lead, doc_byte)
-    begin = np.flatnonzero(token_starts(points, doc_char))
-    if lead is not None:
-        begin = lead[begin]
+    at_char = np.flatnonzero(starts(points, doc_char))
+    begin = at_char if lead is None else lead[at_char]
     end = np.append(begin[1:], len(octets))
+    if drop_space:
+        visible = class_table()[points[at_char]] != SPACE
+        begin, end = begin[visible], end[visible]
     counts = np.diff(np.concatenate([[0], np.searchsorted(begin, ends)]))
+    if not len(begin):
+        none = np.zeros(0, np.int64)
+        return Words(data, none, counts, none, none, none.astype(np.uint64), none.astype(np.uint64))
     one, two = span_keys(data, begin, end)
     codes, at = distinct_keys(one, two)
     return Words(data, codes, counts, begin[at], end[at], one[at], two[at])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, records, word_shuffle
+from . import lines, packing, piece_counts, records, url_filter, word_shuffle
 from .common import default_tokenizer, table
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -54,14 +55,54 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"), default_tokenizer(BYTE_BPE))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.count_tokens(table(spark, sf_dir, "documents"), default_tokenizer(PIECES))
+
+
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP8_SQL = r"""
+WITH r(host, path, verdict) AS (
+  VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+         ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+), p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)://([^/?#]*)([^?#]*)', 2), '') AS path,
+         row_number() OVER () AS n
+  FROM pages
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM (
+  SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict AS v,
+         row_number() OVER (PARTITION BY p.n ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS k
+  FROM p LEFT JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+) WHERE k = 1
+"""
+
+
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op4_packing": op4_packing,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_token_records": op6_token_records,
+        "op7_token_counts": op7_token_counts,
+        "op8_url_filter": op8_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op8_url_filter": OP8_SQL}
