@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, piece_counts, records, url_filter, word_shuffle
+from . import lines, near_dup, packing, piece_counts, records, url_filter, word_shuffle
 from .common import default_tokenizer, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -93,6 +93,10 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM (
 """
 
 
+def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
@@ -101,6 +105,7 @@ def queries() -> dict:
         "op6_token_records": op6_token_records,
         "op7_token_counts": op7_token_counts,
         "op8_url_filter": op8_url_filter,
+        "op9_minhash_near_dup": op9_minhash_near_dup,
     }
 
 
