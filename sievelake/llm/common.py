@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,11 @@ def file_system(path: str):
     return fs.LocalFileSystem(), path
 
 
+def with_columns(schema: T.StructType, **kinds: str) -> T.StructType:
+    """A schema with more columns."""
+    return T.StructType([*schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items())])
+
+
 def octets(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A string column as UTF-8, null as empty."""
     col = batch.column(column)

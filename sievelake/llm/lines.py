@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import octets, shuffle_partitions, stored
+from .common import octets, shuffle_partitions, stored, with_columns
 
 MIN_CHARS, MIN_DOCS = 20, 3
 NO_DOC = -(1 << 63)
@@ -216,5 +216,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     bitmaps = keep_bitmaps(marked.select(F.col("__doc").alias("doc"), F.col("__seal").alias("seal"), "text"), min_chars, min_docs)
     bitmaps = bitmaps.select(F.col("doc").alias("__doc"), F.col("seal").alias("__seal"), F.col("bitmap").alias("__bitmap"))
     joined = marked.join(bitmaps, ["__doc", "__seal"], "left").select(*[marked[c] for c in docs.columns], "__bitmap")
-    schema = docs.schema.add("__n_lines", "long").add("__n_dropped", "long")
+    schema = with_columns(docs.schema, __n_lines="long", __n_dropped="long")
     return joined.mapInArrow(_apply(docs.columns.index("text")), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, near_dup, packing, piece_counts, records, url_filter, word_shuffle
+from . import lines, near_dup, packing, piece_counts, records, toxicity, url_filter, word_shuffle
 from .common import default_tokenizer, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -97,6 +97,13 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(toxicity.FOLDS))
+    return scored.select("doc_id", (remainder == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
@@ -106,6 +113,7 @@ def queries() -> dict:
         "op7_token_counts": op7_token_counts,
         "op8_url_filter": op8_url_filter,
         "op9_minhash_near_dup": op9_minhash_near_dup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
