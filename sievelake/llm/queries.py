@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, near_dup, packing, piece_counts, records, toxicity, url_filter, word_shuffle
+from . import forest, lines, near_dup, packing, piece_counts, records, toxicity, url_filter, word_shuffle
 from .common import default_tokenizer, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -39,6 +39,24 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.vec_id
+"""
+
+
+def op3_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), default_tokenizer(BYTE_BPE))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -107,6 +125,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_embedding_near_dup": op3_embedding_near_dup,
         "op4_packing": op4_packing,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_token_records": op6_token_records,
@@ -118,4 +137,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_embedding_near_dup": OP3_SQL, "op8_url_filter": OP8_SQL}
