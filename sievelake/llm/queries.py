@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, lines, near_dup, packing, piece_counts, records, toxicity, url_filter, word_shuffle
+from . import forest, lines, media, near_dup, packing, piece_counts, records, toxicity, url_filter, word_shuffle
 from .common import default_tokenizer, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -13,6 +13,10 @@ PIECES = "piece_bpe_32k.model"
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 WITH l AS (
   SELECT doc_id, n, line,
@@ -124,6 +128,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_webp_media": op1_webp_media,
         "op2_line_dedup": op2_line_dedup,
         "op3_embedding_near_dup": op3_embedding_near_dup,
         "op4_packing": op4_packing,
