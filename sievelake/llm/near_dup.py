@@ -7,12 +7,18 @@ hash, 16 bits in all.  Equal bands of registers make candidates; a pair is tried
 if its estimated Jaccard similarity, corrected for chance collisions of
 registers, isn't far below the threshold, and linked if its full sets reach it.
 
+Empty buckets of small sets borrow for banding from buckets in a fixed random
+order, so that a band rests on several shingles whatever the set's size.
+
 With bands of 8 rows, 48 of them, a pair at 0.85 shares no band with a
 probability of 2.4e-7.  Members of a band's bucket aren't all paired: a few
 pivots are compared to all others, pairs that are already in one component are
 left out, and pivots go.  This repeats until no bucket has two components, so a
 group of thousands of copies costs a few comparisons for each of them, and
-every pair that shares a band is either compared or connected by links.
+every pair that shares a band is either compared or connected by links.  Classes
+whose buckets are still divided after two rounds (texts around one shared
+passage) are dealt anew, exactly: two sets at the threshold must share one of
+their rarest shingles, so buckets of those replace the bands'.
 
 Defined results: a null or empty text, or one without words, has an empty set, is
 linked with nothing and is its own component; with fewer words than a shingle has,
@@ -23,9 +29,11 @@ another id; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -38,7 +46,8 @@ REGISTERS = BANDS * ROWS
 #: Collision constant of HyperMinHash (fixed value of the published estimator).
 COLLISION = 0.169919487159739093975315012348
 SIGMAS = 6.0
-PIVOTS = (4, 16, 64)  # of a bucket in the first, second and later rounds
+PIVOTS = (4, 16, 16)  # of a bucket in the first, second and later rounds
+BORROWS = 32  # buckets that an empty one asks
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -97,9 +106,33 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _lenders() -> np.ndarray:
+    return np.random.default_rng(384).integers(0, REGISTERS, (BORROWS, REGISTERS))
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Rows of registers without empty ones: each borrows from the first of its lenders that isn't
+    empty, else from the next one around.  Rows that are empty as a whole stay so."""
+    out = regs.copy()
+    rows = np.flatnonzero((regs == 0).any(1) & (regs > 0).any(1))
+    for lender in _lenders():
+        own, have = regs[rows], out[rows]
+        out[rows] = np.where(have == 0, own[:, lender], have)
+        rows = rows[(out[rows] == 0).any(1)]
+        if not len(rows):
+            return out
+    own, have = regs[rows], out[rows]
+    # the next register around that isn't empty
+    place = np.where(np.concatenate([own, own], 1) > 0, np.arange(2 * REGISTERS), 2 * REGISTERS - 1)
+    place = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :REGISTERS] % REGISTERS
+    out[rows] = np.where(have == 0, np.take_along_axis(own, place, 1), have)
+    return out
+
+
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each row of registers; 0: an empty band."""
-    rows = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    rows = filled(regs).reshape(-1, BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
     for k in range(ROWS):
         key = bpe.mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
@@ -139,11 +172,13 @@ def _bands(batches):
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        keys = band_keys(regs)
-        row, band = np.nonzero(keys)
-        at = pa.array(row)
-        yield pa.RecordBatch.from_pydict({"band": pa.array(keys[row, band]), "id": batch.column("set_id").take(at), "n": batch.column("n").take(at)})
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
+            regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            keys = band_keys(regs)
+            row, band = np.nonzero(keys)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_pydict({"band": pa.array(keys[row, band]), "id": part.column("set_id").take(at), "n": part.column("n").take(at)})
 
 
 def _full_sets(words: int):
@@ -185,6 +220,25 @@ def _verify(percent: int):
     return run
 
 
+def _shingles(batches):
+    for batch in batches:
+        for key, n, label, data in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "label", "hashes")), strict=True):
+            h = np.frombuffer(data, np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {"band": pa.array(h), "id": pa.array([key] * len(h), pa.binary()), "n": pa.array([n] * len(h), pa.int64()), "label": pa.array([label] * len(h), pa.binary())}
+            )
+
+
+def _by_rare_shingles(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets of the classes in left by their rarest shingles: of n, those that a set may lack at the threshold and one more."""
+    members = left.groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label")).join(sets.select("id", "hashes"), "id")
+    rows, _ = stored(members.mapInArrow(_shingles, "band long, id binary, n long, label binary"), "shingles")
+    counts = rows.groupBy("band").agg(F.count("*").alias("held"))
+    ranked = rows.join(counts, "band").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("held", "band")))
+    short = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.where((F.col("rank") <= short) & (F.col("held") > 1)).select("band", "id", "n", "label")
+
+
 def _links(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels (id, label) of linked classes.  bands: band, id, n of all buckets with two members or more."""
     spark = bands.sparkSession
@@ -212,6 +266,8 @@ def _links(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rest = rest.join(labels, "id", "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
         split = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
         now, path = stored(rest.join(split, "band", "left_semi"), "buckets")
+        if turn == 1 and not now.isEmpty():
+            now, path = stored(_by_rare_shingles(now, sets, percent), "rare-buckets")
         remove(spark, fresh_path)
         if left_path:
             remove(spark, left_path)
