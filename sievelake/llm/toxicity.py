@@ -75,10 +75,10 @@ def present(raw: list[bytes], cache: bpe.WordCache) -> list[np.ndarray]:
 class LabelModel:
     """Votes are 1 (toxic), -1 (clean) or 0 (none); voters may be correlated.
 
-    Expectation and maximisation over the two classes.  After a first fit, pairs of
-    voters whose votes go together beyond what the class explains count as
-    correlated, and a voter's evidence is divided by the number of its correlated
-    companions (itself included) before the model is fitted again.
+    Expectation and maximisation over the two classes.  Voters that vote almost alike
+    count as correlated from the start; after a first fit also those whose votes go
+    together beyond what the class explains.  A voter's evidence is divided by the
+    number of its correlated companions (itself included), and the model fitted again.
     """
 
     rounds: int = 30
@@ -89,9 +89,12 @@ class LabelModel:
 
     def fit(self, votes: np.ndarray, start: np.ndarray) -> np.ndarray:
         """votes: texts x voters; start: first guess of each text's probability.  Returns posteriors."""
-        m = votes.shape[1]
         seen = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(np.float64)
-        self.weight = np.ones(m)
+        x = votes - votes.mean(0)
+        scale = np.sqrt(np.maximum((x * x).mean(0), 1e-12))
+        self.correlated = np.abs(x.T @ x / len(x) / scale / scale[:, None]) > 0.9
+        np.fill_diagonal(self.correlated, True)
+        self.weight = 1.0 / self.correlated.sum(1)
         p = start
         for again in range(2):
             for _ in range(self.rounds):
@@ -116,7 +119,7 @@ class LabelModel:
         left = x - (1 - p)[:, None] * mean[:, 0] - p[:, None] * mean[:, 1]
         cov = left.T @ left / len(x)
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        self.correlated = np.abs(cov / scale / scale[:, None]) > 0.5
+        self.correlated |= np.abs(cov / scale / scale[:, None]) > 0.5
         np.fill_diagonal(self.correlated, True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
