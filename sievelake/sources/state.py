@@ -12,6 +12,7 @@ import os
 import shutil
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,7 @@ def load(spark: SparkSession, path: str, schema: str = FINGERPRINTS) -> DataFram
         found = spark.read.schema(schema).parquet(path)
         found.limit(1).collect()
         return found
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
 
 
