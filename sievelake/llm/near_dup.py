@@ -16,7 +16,7 @@ pivots are compared to all others, pairs that are already in one component are
 left out, and pivots go.  This repeats until no bucket has two components, so a
 group of thousands of copies costs a few comparisons for each of them, and
 every pair that shares a band is either compared or connected by links.  Classes
-whose buckets are still divided after two rounds (texts around one shared
+whose buckets are still divided after three rounds (texts around one shared
 passage) are dealt anew, exactly: two sets at the threshold must share one of
 their rarest shingles, so buckets of those replace the bands'.
 
@@ -46,7 +46,7 @@ REGISTERS = BANDS * ROWS
 #: Collision constant of HyperMinHash (fixed value of the published estimator).
 COLLISION = 0.169919487159739093975315012348
 SIGMAS = 6.0
-PIVOTS = (4, 16, 16)  # of a bucket in the first, second and later rounds
+PIVOTS = (4, 32, 64)  # of a bucket in the first, second and later rounds
 BORROWS = 32  # buckets that an empty one asks
 
 _SPACE = np.zeros(256, bool)
@@ -247,7 +247,10 @@ def _links(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for turn in range(1 << 20):
         slots = PIVOTS[min(turn, len(PIVOTS) - 1)]
         slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(slots))
-        pivots = left.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("id", "label", "n")).alias("p"))
+        # members of a bucket's smallest components go first: they are few, and without them it holds one component
+        parts_of = left.groupBy("band", "label").agg(F.count("*").alias("k")) if turn else None
+        sized = left.join(parts_of, ["band", "label"]) if turn else left.withColumn("k", F.lit(1))
+        pivots = sized.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("k", "id", "label", "n")).alias("p"))
         own = pivots.select("band", F.col("p.id").alias("a"), F.col("p.label").alias("label_a"), F.col("p.n").alias("n_a"))
         pairs = (
             left.join(own, "band")
@@ -266,7 +269,7 @@ def _links(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rest = rest.join(labels, "id", "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
         split = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
         now, path = stored(rest.join(split, "band", "left_semi"), "buckets")
-        if turn == 1 and not now.isEmpty():
+        if turn == 2 and not now.isEmpty():
             now, path = stored(_by_rare_shingles(now, sets, percent), "rare-buckets")
         remove(spark, fresh_path)
         if left_path:
