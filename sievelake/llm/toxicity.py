@@ -35,40 +35,72 @@ from .common import octets, parts, with_columns
 
 SAMPLE_ROWS = 20_000  # labelled rows that fitting may see
 FOLDS = 5  # rows with crc32(doc_id) mod FOLDS = 0 are held out
-BEGINNINGS = (4, 5, 6)  # characters of word beginnings
-MIN_TOXIC, MIN_LIFT = 5, 20.0  # rows with the feature among toxic ones; odds against clean ones
+BEGINNINGS = (4, 5, 6, 7)  # characters of word beginnings
+MIN_TOXIC, MIN_LIFT = 5, 40.0  # rows with the feature among toxic ones; odds against clean ones
 FEATURES = 4_000  # of the classifier, at most
 LEXICONS = 12  # voters that share out a kind of feature
 
 
+#: First characters of features: a word, a beginning, a beginning of two words or more, of four or more.
+WORD, ONE, TWO, FOUR = "=bcd"
+KINDS = WORD + ONE + TWO + FOUR
+
+
 def features_of(word: str) -> list[str]:
     """A word and its beginnings, told apart by a mark."""
     if len(word) < 3 or len(word) > 40:
         return []
-    return ["=" + word, *(f"{k}{word[:k]}" for k in BEGINNINGS if len(word) >= k)]
+    return [WORD + word, *(ONE + word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
 def _lower(raw: list[bytes]) -> list[bytes]:
     return [x.decode("utf-8", "replace").lower().encode() for x in raw]
 
 
-def _feature_ids(names: dict[str, int]):
-    """An encoder of words to the numbers of their features."""
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return [[names[f] for f in features_of(w.decode("utf-8", "replace")) if f in names] for w in words]
-
-    return encode
-
-
-def present(raw: list[bytes], cache: bpe.WordCache) -> list[np.ndarray]:
-    """Distinct features of each text."""
-    words = bpe.split_bytes(_lower(raw), bpe.word_starts, drop_space=True)
-    if not len(words.codes):
-        return [np.zeros(0, np.int64)] * len(raw)
-    ids, counts = bpe.in_place(words, *cache.spans(words))
-    cut = np.concatenate([[0], np.cumsum(counts)]).tolist()
-    return [np.unique(ids[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+def features_of_text(text: bytes) -> set[str]:
+    """All features of a text."""
+    words = bpe.split_bytes(_lower([text]), bpe.word_starts, drop_space=True)
+    counts = Counter(f for w in words.distinct() for f in features_of(w.decode("utf-8", "replace")))
+    more = {TWO + f[1:] for f, n in counts.items() if n >= 2 and f[0] == ONE} | {FOUR + f[1:] for f, n in counts.items() if n >= 4 and f[0] == ONE}
+    return more | counts.keys()
+
+
+class Finder:
+    """Finds the named features in texts, a batch at a time."""
+
+    def __init__(self, names: dict[str, int]):
+        self.n = len(names)
+        ids = dict(names)
+        for f in names:  # what features of several words count
+            if f[0] in TWO + FOUR:
+                ids.setdefault(ONE + f[1:], len(ids))
+        self.several = [np.full(len(ids), -1, np.int64) for _ in range(2)]
+        for f, i in ids.items():
+            for table, kind in zip(self.several, (TWO, FOUR), strict=True):
+                if f[0] == ONE:
+                    table[i] = names.get(kind + f[1:], -1)
+
+        def encode(words: list[bytes]) -> list[list[int]]:
+            return [[ids[f] for f in features_of(w.decode("utf-8", "replace")) if f in ids] for w in words]
+
+        self.cache = bpe.WordCache(encode)
+
+    def present(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Distinct features of each text."""
+        words = bpe.split_bytes(_lower(raw), bpe.word_starts, drop_space=True)
+        if not len(words.codes):
+            return [np.zeros(0, np.int64)] * len(raw)
+        flat, start, size = self.cache.spans(words)
+        cut, out = np.concatenate([[0], np.cumsum(words.counts)]).tolist(), []
+        useful = size > 0
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            codes = words.codes[a:b]
+            own = np.unique(codes[useful[codes]])
+            ids, counts = np.unique(bpe.ragged_take(flat, start, size, own)[0], return_counts=True)
+            more = [table[ids[counts >= n]] for table, n in zip(self.several, (2, 4), strict=True)]
+            every = np.concatenate([ids, *more])
+            out.append(np.unique(every[(every >= 0) & (every < self.n)]))
+        return out
 
 
 @dataclass
@@ -132,14 +164,14 @@ class LabelModel:
 def voters(rows: list[np.ndarray], kinds: np.ndarray, lift: np.ndarray, n: int) -> np.ndarray:
     """Votes of lexicons and patterns.
 
-    A lexicon holds a share of the features of one kind (words, or beginnings of one
-    length), the strongest ones dealt out in turn; it votes toxic on a hit.  Patterns:
+    A lexicon holds a share of the features of one kind (words, beginnings, beginnings of
+    several words), the strongest ones dealt out in turn; it votes toxic on a hit.  Patterns:
     two features or more; three or more; a very strong one; a word together with its own
     beginning; and, for clean, no feature at all, and none of each kind.
     """
     order = np.argsort(-lift, kind="stable")
     share = np.zeros(len(kinds), np.int64)
-    for kind in range(4):
+    for kind in range(len(KINDS)):
         own = order[kinds[order] == kind]
         share[own] = kind * LEXICONS + np.arange(len(own)) % LEXICONS
     strong = lift >= np.quantile(lift, 0.5)
@@ -208,8 +240,7 @@ def _counts(batches):
     for batch in batches:
         counts: Counter = Counter()
         for text in octets(batch, "text"):
-            words = bpe.split_bytes(_lower([text]), bpe.word_starts, drop_space=True)
-            counts.update({f for w in words.distinct() for f in features_of(w.decode("utf-8", "replace"))})
+            counts.update(features_of_text(text))
         yield pa.RecordBatch.from_pydict({"feature": pa.array(list(counts), pa.string()), "n_toxic": pa.array(list(counts.values()), pa.int64())})
 
 
@@ -222,11 +253,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     names = {f: i for i, f in enumerate(found)}
 
     def held(batches):
-        cache = bpe.WordCache(_feature_ids(names))
+        finder = Finder(names)
         for batch in batches:
             raw = octets(batch, "text")
             for i, j in parts(raw, bpe.BLOCK_BYTES):
-                own = present(raw[i:j], cache)
+                own = finder.present(raw[i:j])
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": batch.column("doc_id").slice(i, j - i), "toxic": batch.column("toxic").slice(i, j - i).cast(pa.int32()), "own": pa.array([x.astype("<i4").tobytes() for x in own], pa.binary())}
                 )
@@ -243,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     lift = (n_toxic + 0.5) / (n_clean + 0.5) * ((side[1] + 1) / (side[0] + 1))
     good = np.flatnonzero((n_toxic >= min(MIN_TOXIC, max(2, side[0] // 4))) & (lift >= MIN_LIFT))
     good = good[np.lexsort((good, -n_toxic[good]))][:FEATURES]
-    kind_of = np.array([0 if f[0] == "=" else 1 + BEGINNINGS.index(int(f[0])) for f in found], np.int64)
+    kind_of = np.array([KINDS.index(f[0]) for f in found], np.int64)
     good = np.concatenate([g[_needed(own, toxic, g)] for g in (good[kind_of[good] == k] for k in range(1 + len(BEGINNINGS)))])
     if not len(good):
         good = np.array([int(np.argmax(lift))])
@@ -300,12 +331,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own_model = Model(*shared.value)
-        cache = bpe.WordCache(_feature_ids(own_model.names))
+        finder = Finder(own_model.names)
         for batch in batches:
             raw = [x or b"" for x in batch.column(text_at).cast(pa.binary()).to_pylist()]
             scores = []
             for i, j in parts(raw, bpe.BLOCK_BYTES):
-                scores += [own_model.score(x) for x in present(raw[i:j], cache)]
+                scores += [own_model.score(x) for x in finder.present(raw[i:j])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "__score"])
 
     return docs.mapInArrow(run, with_columns(docs.schema, __score="double"))
