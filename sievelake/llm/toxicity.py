@@ -232,7 +232,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     total = known.count()
     share = min(1.0, sample_rows / max(total, 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    # at most about sample_rows rows of two numbers: small enough to send to every task at any size of the input
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
 
 def _counts(batches):
