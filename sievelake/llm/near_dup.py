@@ -251,6 +251,9 @@ def _links(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         parts_of = left.groupBy("band", "label").agg(F.count("*").alias("k")) if turn else None
         sized = left.join(parts_of, ["band", "label"]) if turn else left.withColumn("k", F.lit(1))
         pivots = sized.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("k", "id", "label", "n")).alias("p"))
+        if turn:  # a bucket's largest component needs no pivots: the others' meet it
+            largest = parts_of.groupBy("band").agg(F.max("k").alias("most"), F.min("k").alias("least"))
+            pivots = pivots.join(largest, "band").where((F.col("p.k") < F.col("most")) | (F.col("most") == F.col("least")))
         own = pivots.select("band", F.col("p.id").alias("a"), F.col("p.label").alias("label_a"), F.col("p.n").alias("n_a"))
         pairs = (
             left.join(own, "band")
@@ -289,9 +292,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed, _ = stored(docs.mapInArrow(_signatures(words), "doc_id long, n long, set_id binary, regs binary"), "signatures")
     classes = signed.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
-    banded = signed.where("n > 0").dropDuplicates(["set_id"]).select("set_id", "n", "regs").mapInArrow(_bands, "band long, id binary, n long")
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    bands, _ = stored(banded.join(shared, "band", "left_semi"), "bands")
+    # registers aren't shuffled: equal sets meet as rows of a band and an id
+    banded = signed.where("n > 0").select("set_id", "n", "regs").mapInArrow(_bands, "band long, id binary, n long")
+    shared = banded.groupBy("band").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("band")
+    bands, _ = stored(banded.join(shared, "band", "left_semi").distinct(), "bands")
     # full sets of the classes that share a band: one document of each class is read again
     wanted = bands.select(F.col("id").alias("set_id")).distinct()
     readers = signed.where("n > 0").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
