@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import bpe
 from .common import octets, parts, with_columns
@@ -267,11 +268,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     toxic = np.array([r["toxic"] == 1 for r in sample], bool)
     if not toxic.any() or toxic.all() or not found:
         return Model({}, np.zeros(0), float(np.log(max(toxic.mean() if len(toxic) else 0, 1e-9) / max(1 - (toxic.mean() if len(toxic) else 0), 1e-9))))
-    own = [np.frombuffer(r["own"], "<i4").astype(np.int64) for r in sample]
+    own = [np.frombuffer(r["own"], "<i4") for r in sample]
     # near copies of one text would make each of its words look toxic: rows with equal features count once
-    distinct = {(t, x.tobytes()) for t, x in zip(toxic.tolist(), own, strict=True)}
-    n_toxic, n_clean = (np.bincount(np.concatenate([np.frombuffer(b, np.int64) for t, b in distinct if t == side] or [np.zeros(0, np.int64)]), minlength=len(found)) for side in (True, False))
-    side = [sum(t for t, _ in distinct), sum(not t for t, _ in distinct)]
+    seen, side, by_side = set(), [0, 0], np.zeros((2, len(found)), np.int64)
+    for t, x in zip(toxic.tolist(), own, strict=True):
+        if (name := (t, xxh3_128_digest(x))) not in seen:
+            seen.add(name)
+            side[not t] += 1
+            by_side[int(not t), x] += 1  # a row's features are distinct
+    n_toxic, n_clean = by_side
     lift = (n_toxic + 0.5) / (n_clean + 0.5) * ((side[1] + 1) / (side[0] + 1))
     good = np.flatnonzero((n_toxic >= min(MIN_TOXIC, max(2, side[0] // 4))) & (lift >= MIN_LIFT))
     good = good[np.lexsort((good, -n_toxic[good]))][:FEATURES]
