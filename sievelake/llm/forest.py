@@ -1,17 +1,18 @@
-"""Near-duplicate vectors by a forest of random-projection trees.
-
-Each tree halves the vectors again and again at the widest gap, near the median,
-of their projections on a random direction; vectors near a cut go to both sides
-(spill overlap).  The upper part of the trees is fitted on a bounded sample and
-sent to all tasks; leaves that still hold more than MAX_LEAF vectors are halved
-further where the vectors are, level by level.  Within a leaf all pairs are
-compared by a matrix product in double precision.  Pairs of a leaf aren't
-written: a pair counts in the first leaf that both vectors share, numbers of
-links are summed up, and a leaf's links become one star for each of its
-components.
+"""Near-duplicate vectors by exact comparison of blocks.
+
+Distinct vectors are dealt by the nearest of some sampled centres and packed into
+blocks, which lie in the shared folder.  Two blocks can hold a link only if their
+centres aren't farther apart than both radii and the angle of the threshold (the
+triangle inequality on the sphere); all other pairs of blocks are left out, and no
+link is lost by it.  The pairs of blocks are spread over tasks, whatever cluster
+they come from; a task reads the two blocks, so no vector is copied by a shuffle.
+Products in single precision pick the pairs that may reach the threshold, with the
+bound of their rounding; double precision decides.  Links aren't written: numbers
+of links are summed up, and the links of two blocks become one star for each of
+their components.
 
 Equal vectors are one class from the start, so a frequent vector costs one row.
-Recall against brute force is measured in the tests and stated in the README.
+Arithmetic grows with the square of the vectors where bounds part no blocks.
 
 Defined results: a vector that is null, zero, empty, holds a null or non-finite
 component, or isn't as long as most vectors are, links with nothing; rows with
@@ -21,90 +22,30 @@ that has another id; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import shuffle_partitions, stored
+from .common import file_system, remove, scratch, shuffle_partitions, stored
 from .components import components
 
-TREES = 8
-SAMPLE = 20_000  # vectors that the upper trees are fitted on
-LEAF = 768  # vectors a leaf should hold
-MAX_LEAF = 4 * LEAF  # a leaf beyond this is halved further
-LEAST_SAMPLE = 24  # sampled vectors a leaf needs to be halved by them
-SPILL = 0.15  # overlap on each side of a cut, in standard deviations of the projection
+SAMPLE = 20_000  # distinct vectors that the centres are chosen from, at most twice as many
+CENTRES = 256
+LEAF = 2048  # vectors of a block at most
+BLOCK_BYTES = 32 << 20
 SEED = 5
-LEVEL_BITS = 40
+BLOCKS = "file string, held int, centre binary, radius double"
 
 
 def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _cut(p: np.ndarray) -> tuple[float, float]:
-    """The widest gap in the middle of the projections, and the overlap around it."""
-    p = np.sort(p)
-    a, b = int(len(p) * 0.35), max(int(len(p) * 0.65), int(len(p) * 0.35) + 2)
-    gaps = np.diff(p[a:b])
-    k = int(np.argmax(gaps)) if len(gaps) else 0
-    at = float((p[a + k] + p[min(a + k + 1, len(p) - 1)]) / 2)
-    return at, SPILL * float(p.std())
-
-
-def fit(sample: np.ndarray, leaf: int, trees: int = TREES) -> list[list[tuple]]:
-    """Trees as lists of nodes (direction, cut, overlap, left, right); a leaf is None.  sample: unit vectors."""
-    forest = []
-    for t in range(trees):
-        rng = np.random.default_rng((SEED, t))
-        nodes: list = [None]
-        todo = [(0, np.arange(len(sample)))]
-        while todo:
-            node, own = todo.pop()
-            if len(own) <= leaf:
-                continue
-            best = None
-            for _ in range(4):
-                d = rng.standard_normal(sample.shape[1])
-                d /= np.linalg.norm(d)
-                p = sample[own] @ d
-                at, overlap = _cut(p)
-                both = int(np.count_nonzero(np.abs(p - at) <= overlap))
-                if best is None or both < best[0]:
-                    best = (both, d, p, at, overlap)
-            _, d, p, at, overlap = best
-            left, right = own[p <= at + overlap], own[p >= at - overlap]
-            if max(len(left), len(right)) > 0.95 * len(own):
-                continue  # copies of nearly one vector: no cut helps
-            nodes[node] = (d, at, overlap, len(nodes), len(nodes) + 1)
-            nodes += [None, None]
-            todo += [(nodes[node][3], left), (nodes[node][4], right)]
-        forest.append(nodes)
-    return forest
-
-
-def leaves(forest: list[list[tuple]], x: np.ndarray) -> list[list[int]]:
-    """Leaves of each unit vector, in order: tree * 2^LEVEL_BITS + node."""
-    out: list[list[int]] = [[] for _ in range(len(x))]
-    for t, nodes in enumerate(forest):
-        todo = [(0, np.arange(len(x)))]
-        while todo:
-            node, own = todo.pop()
-            if not len(own):
-                continue
-            if nodes[node] is None:
-                for i in own.tolist():
-                    out[i].append((t << LEVEL_BITS) + node)
-                continue
-            d, at, overlap, left, right = nodes[node]
-            p = x[own] @ d
-            todo += [(left, own[p <= at + overlap]), (right, own[p >= at - overlap])]
-    return [sorted(o) for o in out]
-
-
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     """Rows as double vectors; None where a row can't link."""
     out = []
@@ -137,115 +78,160 @@ def _matrix(column) -> np.ndarray:
     return unit(np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1))
 
 
-def _leaf_links(threshold: float):
-    """Links of the vectors of each leaf: for every vector the number it gains and the smallest vector of its part."""
-
-    def links(x: np.ndarray, keys: list[bytes], weight: np.ndarray, codes: list[list[int]], leaf: int):
-        n = len(x)
-        gained = np.zeros(n, np.int64)
-        label = np.arange(n)
-        order = np.argsort(np.array(keys, object))
-        x, weight = x[order], weight[order]
-        codes = [codes[i] for i in order]
-        wide = max(map(len, codes))
-        board = np.full((n, wide), -1, np.int64)
-        for i, c in enumerate(codes):
-            board[i, : len(c)] = c
-        board[board >= leaf] = -1  # leaves before this one
-        pairs = []
-        for a in range(0, n, 1024):
-            close = x[a : a + 1024] @ x[a:].T >= threshold
-            i, j = np.nonzero(np.triu(close, 1))
-            i, j = i + a, j + a
-            pairs.append((i, j))
-            for s in range(0, len(i), 200_000):
-                p, q = i[s : s + 200_000], j[s : s + 200_000]
-                before = np.zeros(len(p), bool)
-                for k in range(wide):
-                    mine = board[p, k]
-                    if (mine >= 0).any():
-                        before |= (mine >= 0) & (board[q] == mine[:, None]).any(1)
-                p, q = p[~before], q[~before]
-                gained += np.bincount(p, weight[q], n).astype(np.int64) + np.bincount(q, weight[p], n).astype(np.int64)
-        i = np.concatenate([p for p, _ in pairs])
-        j = np.concatenate([q for _, q in pairs])
-        while len(i):
-            least = np.minimum(label[i], label[j])
-            old = label.copy()
-            np.minimum.at(label, i, least)
-            np.minimum.at(label, j, least)
-            label = label[label]
-            if np.array_equal(old, label):
-                break
-        some = np.flatnonzero((gained > 0) | (label != np.arange(n)))
-        return [keys[order[k]] for k in some], gained[some], [keys[order[label[k]]] for k in some]
+def _cells(centres):
+    """Adds the nearest of the centres."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cell = np.argmax(_matrix(batch.column("data")) @ centres.value.T, 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
+def _pack(folder: str, leaf: int):
+    """Writes blocks of vectors that come in order of their cells; a block ends with its cell if it is half full."""
 
     def run(batches):
-        leaf, rows = None, []
+        store, root = file_system(folder)
+        rows, last = [], None
 
         def flush():
-            if len(rows) > 1:
-                x = unit(np.frombuffer(b"".join(r[1] for r in rows), np.float64).reshape(len(rows), -1))
-                keys, gained, label = links(x, [r[0] for r in rows], np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], leaf)
-                if keys:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(keys, pa.binary()), "gained": pa.array(gained, pa.int64()), "b": pa.array(label, pa.binary())})
+            keys, data, copies = zip(*rows, strict=True)
+            x = unit(np.frombuffer(b"".join(data), np.float64).reshape(len(rows), -1))
+            centre = x.sum(0)
+            centre = unit(centre[None])[0] if centre.any() else x[0]
+            name = uuid.uuid4().hex
+            store.create_dir(root, recursive=True)
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
+                f.write(b"".join(keys) + np.array(copies, "<i8").tobytes() + x.astype("<f8").tobytes())
+            radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+            rows.clear()
+            return pa.RecordBatch.from_pydict(
+                {"file": [name], "held": pa.array([len(keys)], pa.int32()), "centre": pa.array([centre.tobytes()], pa.binary()), "radius": [radius]}
+            )
 
         for batch in batches:
-            for now, *row in zip(*(batch.column(c).to_pylist() for c in ("leaf", "key", "data", "copies", "codes")), strict=True):
-                if now != leaf:
-                    yield from flush()
-                    leaf, rows = now, []
+            for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "key", "data", "copies")), strict=True):
+                most = max(1, min(leaf, BLOCK_BYTES // len(row[1])))
+                if len(rows) >= most or rows and cell != last and 2 * len(rows) >= most:
+                    yield flush()
                 rows.append(row)
-        yield from flush()
+                last = cell
+        if rows:
+            yield flush()
 
     return run
 
 
-def _deepen(classes: DataFrame, max_leaf: int) -> DataFrame:
-    """Halves leaves of more than max_leaf vectors at the mean of a random projection until none is left,
-    or a halving no longer parts a leaf."""
-    for level in range(64):
-        large = classes.select(F.explode("codes").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("held")).where(F.col("held") > max_leaf)
-        large, _ = stored(large.select("leaf"), "large-leaves")
-        if large.isEmpty():
-            return classes
-        members = classes.select("key", "data", F.explode("codes").alias("leaf")).join(large, "leaf", "left_semi")
-
-        def project(batches, level=level):
-            for batch in batches:
-                if batch.num_rows:
-                    x, own = _matrix(batch.column("data")), batch.column("leaf").to_pylist()
-                    p = [float(v @ np.random.default_rng((SEED, level, abs(leaf))).standard_normal(len(v))) for v, leaf in zip(x, own, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("leaf"), pa.array(p)], names=["key", "leaf", "p"])
-
-        projected, _ = stored(members.mapInArrow(project, "key binary, leaf long, p double"), "projections")
-        cuts = projected.groupBy("leaf").agg(F.avg("p").alias("at"), F.coalesce(F.stddev_pop("p"), F.lit(0.0)).alias("spread"))
-        # the children's names keep the order of trees: bits of a level below those of the node
-        side = projected.join(cuts, "leaf").withColumn("overlap", SPILL * F.col("spread"))
-        child = F.array_compact(
-            F.array(
-                F.when(F.col("p") <= F.col("at") + F.col("overlap"), F.struct("leaf", F.lit(0).alias("way"))),
-                F.when(F.col("p") > F.col("at") - F.col("overlap"), F.struct("leaf", F.lit(1).alias("way"))),
-            )
-        )
+def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Where the products of unit vectors reach the threshold."""
+    slack = (a.shape[1] + 8) * 2.0**-22  # more than single precision can be off
+    close = a.astype(np.float32) @ b.astype(np.float32).T >= threshold - slack
+    i, j = np.nonzero(close) if np.count_nonzero(close) * 64 < close.size else (None, None)
+    if i is None:
+        return a @ b.T >= threshold
+    for s in range(0, len(i), 16_384):
+        p, q = i[s : s + 16_384], j[s : s + 16_384]
+        close[p, q] = np.einsum("ij,ij->i", a[p], b[q]) >= threshold
+    return close
+
+
+def _stars(close: np.ndarray, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component; rows and columns: the nodes of close."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        new[rows] = np.minimum(new[rows], np.where(close, label[columns], n).min(1))
+        new[columns] = np.minimum(new[columns], np.where(close, new[rows][:, None], n).min(0))
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _block_links(folder: str, blocks, threshold: float):
+    """Links of pairs of blocks: for every vector that has some the number it gains and the first vector of its part.
+    Pair u of blocks i >= j is number i * (i + 1) / 2 + j."""
+
+    def run(batches):
+        store, root = file_system(folder)
+        held = [None, None]
+
+        def block(side: int, k: int):
+            if held[side] is None or held[side][0] != k:
+                name, n, *_ = blocks.value[k]
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    data = f.read()
+                keys = [data[16 * i : 16 * i + 16] for i in range(n)]
+                held[side] = (k, keys, np.frombuffer(data, "<i8", n, 16 * n), np.frombuffer(data, "<f8", -1, 24 * n).reshape(n, -1))
+            return held[side][1:]
 
-        def name(leaf, way, level=level):
-            tree = F.shiftright(leaf, LEVEL_BITS)
-            return F.shiftleft(tree, LEVEL_BITS) + F.pmod(F.xxhash64(leaf, way, F.lit(level)), F.lit(1 << LEVEL_BITS))
+        for batch in batches:
+            for u in batch.column("id").to_pylist():
+                i = (math.isqrt(8 * u + 1) - 1) // 2
+                j = u - i * (i + 1) // 2
+                (_, _, c, r), (_, _, d, q) = blocks.value[i], blocks.value[j]
+                if i != j and math.acos(max(-1.0, min(1.0, float(c @ d)))) > r + q + math.acos(max(-1.0, min(1.0, threshold))) + 1e-6:
+                    continue
+                keys, copies, x = block(0, i)
+                others, weight, y = (keys, copies, x) if i == j else block(1, j)
+                close = _close(x, y, threshold)
+                if i == j:
+                    close |= close.T
+                    np.fill_diagonal(close, False)
+                a, b = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+                if not len(a):
+                    continue
+                close = close[np.ix_(a, b)]
+                counted = close.astype(np.float64)
+                gained = np.zeros(len(x) + (i != j) * len(y))
+                gained[a] += counted @ weight[b]
+                columns = b
+                if i != j:
+                    columns = b + len(x)
+                    gained[columns] += copies[a] @ counted
+                    keys = keys + others
+                label = _stars(close, a, columns, len(gained))
+                some = np.flatnonzero(gained)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "a": pa.array([keys[k] for k in some], pa.binary()),
+                        "gained": pa.array(gained[some].astype(np.int64)),
+                        "b": pa.array([keys[k] for k in label[some]], pa.binary()),
+                    }
+                )
 
-        moved = side.select("key", "leaf", F.transform(child, lambda c: name(c["leaf"], c["way"])).alias("to"))
-        changes = moved.groupBy("key").agg(F.collect_list("leaf").alias("old"), F.flatten(F.collect_list("to")).alias("new"))
-        fresh = classes.join(changes, "key", "left").withColumn(
-            "codes", F.when(F.col("old").isNull(), F.col("codes")).otherwise(F.array_sort(F.array_union(F.array_except("codes", "old"), "new")))
-        )
-        classes, _ = stored(fresh.drop("old", "new"), "leaves")
-    return classes
+    return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, max_leaf: int = MAX_LEAF) -> DataFrame:
+def _links(classes: DataFrame, total: int, dim: int, threshold: float, sample: int, leaf: int) -> DataFrame:
+    """a, gained, b of all links between classes (key, data, copies)."""
+    spark = classes.sparkSession
+    share = min(1.0, sample / max(total, 1))
+    chosen = classes.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).select("key", "data")
+    rows = chosen.orderBy(F.xxhash64("key", F.lit(SEED + 1)), "key").limit(CENTRES).collect()
+    x = unit(np.frombuffer(b"".join(r["data"] for r in rows), np.float64).reshape(len(rows), -1)) if rows else np.zeros((1, max(dim, 1)))
+    celled = classes.select("key", "data", "copies").mapInArrow(_cells(spark.sparkContext.broadcast(x)), "key binary, data binary, copies long, cell int")
+    folder = scratch(spark, "blocks")
+    # a few blocks a task, so that their number doesn't depend on that of the partitions
+    n = max(1, min(shuffle_partitions(spark), -(-total // (4 * leaf))))
+    dealt = celled.repartitionByRange(n, "cell", "key").sortWithinPartitions("cell", "key").coalesce(n)
+    packed, _ = stored(dealt.mapInArrow(_pack(folder, leaf), BLOCKS), "block-list")
+    found = sorted(((r["file"], r["held"], np.frombuffer(r["centre"], np.float64), r["radius"]) for r in packed.collect()), key=lambda r: r[2].tobytes())
+    pairs = len(found) * (len(found) + 1) // 2
+    units = spark.range(0, pairs, 1, max(1, min(pairs, 4 * shuffle_partitions(spark))))
+    run = _block_links(folder, spark.sparkContext.broadcast(found), threshold)
+    links, _ = stored(units.mapInArrow(run, "a binary, gained long, b binary"), "block-links")
+    remove(spark, folder)
+    return links
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int | None = None, sample: int = SAMPLE, leaf: int = LEAF, max_leaf: int | None = None) -> DataFrame:
     """vec_id, n_links (other vectors at a cosine of threshold or more), component_id (smallest vec_id
-    reachable), kept (vec_id = component_id).  vectors: vec_id, embedding."""
-    spark = vectors.sparkSession
+    reachable), kept (vec_id = component_id).  vectors: vec_id, embedding.  trees and max_leaf change nothing:
+    no vectors are parted by trees any more."""
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     keyed, _ = stored(source.mapInArrow(_keys, "vec_id long, dim int, key binary, data binary"), "vectors")
     sizes = keyed.where("dim is not null").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
@@ -253,24 +239,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES,
     able = keyed.where(F.col("dim") == dim)
     counted = able.groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     classes, _ = stored(counted.join(able.select("key", "data").dropDuplicates(["key"]), "key"), "classes")
-    total = classes.count()
-    share = min(1.0, sample / max(total, 1))
-    chosen = classes.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).select("key", "data").limit(2 * sample).collect()
-    rows = sorted((r["key"], r["data"]) for r in chosen)
-    x = unit(np.frombuffer(b"".join(r[1] for r in rows), np.float64).reshape(len(rows), -1)) if rows else np.zeros((0, max(dim, 1)))
-    forest = spark.sparkContext.broadcast(fit(x, max(LEAST_SAMPLE, int(leaf * share)), trees))
-
-    def route(batches):
-        for batch in batches:
-            if batch.num_rows:
-                found = leaves(forest.value, _matrix(batch.column("data")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "codes"])
-
-    routed, _ = stored(classes.mapInArrow(route, T.StructType([*classes.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])), "routed")
-    routed = _deepen(routed, max_leaf)
-    n = shuffle_partitions(spark)
-    by_leaf = routed.select("key", "data", "copies", "codes", F.explode("codes").alias("leaf")).repartition(n, "leaf").sortWithinPartitions("leaf")
-    found, _ = stored(by_leaf.mapInArrow(_leaf_links(threshold), "a binary, gained long, b binary"), "leaf-links")
+    found = _links(classes, classes.count(), dim, threshold, sample, leaf)
     labels = components(found.select("a", "b"))
     gained = found.groupBy(F.col("a").alias("key")).agg(F.sum("gained").alias("gained"))
     named = classes.select("key", "copies", "first").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
