@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm import lines, near_dup, packing, toxicity
-from sievelake.llm.common import default_tokenizer, scratch, table
+from sievelake.llm.common import default_tokenizer, scratch, stored, table
 
 TOXIC_FROM = 0.5
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -33,10 +33,24 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    judged = near_dup.near_duplicates(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """One row of each group of near duplicates: the one with the smallest doc_id, null last; of those with
+    the same doc_id, the one with the smallest MD5 of its text, then with the smallest other columns.  Rows
+    are judged by doc_id and text, so others with their doc_id don't matter.  Texts without words all stay."""
+    sealed = docs.withColumn("__seal", F.md5(F.coalesce("text", F.lit(""))))
+    judged = near_dup.judged_rows(sealed, SHINGLE_WORDS, SIMILAR_PERCENT, ("__seal",))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__seal")
+    keys = judged.where("n > 0").groupBy("label", key.alias("key")).agg(F.count("*").alias("rows"))
+    first = keys.groupBy("label").agg(F.min("key").alias("first"))
+    marked = keys.join(first, "label").select(F.col("key.doc_id").alias("id"), F.col("key.__seal").alias("seal"), (F.col("key") == F.col("first")).alias("stays"), "rows")
+    marked, _ = stored(marked.where("not stays or rows > 1"), "judged")
+    same = sealed.doc_id.eqNullSafe(marked.id) & (sealed["__seal"] == marked.seal)
+    rest = sealed.join(marked, same, "left_anti").select(*docs.columns)
+    repeated = marked.where("stays")
+    if repeated.isEmpty():
+        return rest
+    again = sealed.join(repeated, same, "left_semi")
+    one = again.groupBy("doc_id", "__seal").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rest.unionByName(one)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

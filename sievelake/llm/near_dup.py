@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from . import bpe
-from .common import octets, parts, remove, stored
+from .common import octets, parts, remove, stored, with_columns
 from .components import components
 
 BANDS, ROWS, MANTISSA = 48, 8, 10
@@ -150,7 +150,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, int]:
     return max(0.0, same / used - chance), used
 
 
-def _signatures(words: int):
+def _signatures(words: int, carried: tuple[str, ...]):
     def run(batches):
         for batch in batches:
             raw = octets(batch, "text")
@@ -158,7 +158,7 @@ def _signatures(words: int):
                 sets = shingle_sets(raw[i:j], words)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch.column("doc_id").slice(i, j - i),
+                        **{c: batch.column(c).slice(i, j - i) for c in ("doc_id", *carried)},
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "set_id": pa.array([xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
                         "regs": pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
@@ -283,14 +283,12 @@ def _links(bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     raise AssertionError("unreachable")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
-
-    docs: doc_id, text.  Links: 100 * shared shingles >= percent * union; percent from 80, for which
-    the bands are made.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed, _ = stored(docs.mapInArrow(_signatures(words), "doc_id long, n long, set_id binary, regs binary"), "signatures")
+def judged_rows(docs: DataFrame, words: int, percent: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the columns in carried of every row, n (shingles), label (of its component; null: without
+    shingles, on its own), component_id (smallest doc_id of the component, null if all are)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    schema = docs.select("doc_id", *carried).schema
+    signed, _ = stored(docs.mapInArrow(_signatures(words, carried), with_columns(schema, n="long", set_id="binary", regs="binary")), "signatures")
     classes = signed.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
     # registers aren't shuffled: equal sets meet as rows of a band and an id
     banded = signed.where("n > 0").select("set_id", "n", "regs").mapInArrow(_bands, "band long, id binary, n long")
@@ -304,7 +302,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = _links(bands, sets, percent)
     named = classes.join(labels, classes.set_id == labels.id, "left").select("set_id", "first_doc", F.coalesce("label", "set_id").alias("label"))
     least = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    by_class = named.join(least, "label").select("set_id", "component_id")
-    out = signed.select("doc_id", "n", "set_id").join(by_class, "set_id", "left")
+    by_class = named.join(least, "label").select("set_id", "label", "component_id")
+    return signed.select("doc_id", *carried, "n", "set_id").join(by_class, "set_id", "left").drop("set_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
+
+    docs: doc_id, text.  Links: 100 * shared shingles >= percent * union; percent from 80, for which
+    the bands are made.
+    """
+    out = judged_rows(docs, words, percent)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
