@@ -77,7 +77,7 @@ def shingle_sets(raw: list[bytes], words: int) -> list[np.ndarray]:
     word = bpe.mix64(one ^ bpe.mix64(two))
     n = len(word)
     rolled = word.copy()
-    for k in range(1, words):
+    for k in range(1, min(words, n)):
         rolled[: n - k] = bpe.mix64(rolled[: n - k] * np.uint64(0x9E3779B97F4A7C15) + word[k:])
     sets = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
