@@ -14,8 +14,8 @@ their components.
 Equal vectors are one class from the start, so a frequent vector costs one row.
 Arithmetic grows with the square of the vectors where bounds part no blocks.
 
-Defined results: a vector that is null, zero, empty, holds a null or non-finite
-component, or isn't as long as most vectors are, links with nothing; rows with
+Defined results: a vector that is null, zero, empty or holds a null or non-finite
+component links with nothing; vectors of different lengths don't link; rows with
 the same vec_id are judged one by one; a null vec_id never names a component
 that has another id; an empty table gives no rows; other columns are ignored.
 """
@@ -79,13 +79,17 @@ def _matrix(column) -> np.ndarray:
 
 
 def _cells(centres):
-    """Adds the nearest of the centres."""
+    """Adds the nearest of the centres of a vector's length, and that length."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                cell = np.argmax(_matrix(batch.column("data")) @ centres.value.T, 1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
+                dims = np.array([len(d) // 8 for d in batch.column("data").to_pylist()])
+                cell = np.zeros(len(dims), np.int32)
+                for dim in set(dims.tolist()) & set(centres.value):
+                    at = np.flatnonzero(dims == dim)
+                    cell[at] = np.argmax(_matrix(batch.column("data").take(pa.array(at))) @ centres.value[dim].T, 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(cell, pa.int32())], names=[*batch.schema.names, "dim", "cell"])
 
     return run
 
@@ -115,7 +119,7 @@ def _pack(folder: str, leaf: int):
         for batch in batches:
             for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "key", "data", "copies")), strict=True):
                 most = max(1, min(leaf, BLOCK_BYTES // len(row[1])))
-                if len(rows) >= most or rows and cell != last and 2 * len(rows) >= most:
+                if rows and (len(rows) >= most or len(rows[-1][1]) != len(row[1]) or cell != last and 2 * len(rows) >= most):
                     yield flush()
                 rows.append(row)
                 last = cell
@@ -173,6 +177,8 @@ def _block_links(folder: str, blocks, threshold: float):
                 i = (math.isqrt(8 * u + 1) - 1) // 2
                 j = u - i * (i + 1) // 2
                 (_, _, c, r), (_, _, d, q) = blocks.value[i], blocks.value[j]
+                if len(c) != len(d):
+                    continue
                 if i != j and math.acos(max(-1.0, min(1.0, float(c @ d)))) > r + q + math.acos(max(-1.0, min(1.0, threshold))) + 1e-6:
                     continue
                 keys, copies, x = block(0, i)
@@ -206,18 +212,21 @@ def _block_links(folder: str, blocks, threshold: float):
     return run
 
 
-def _links(classes: DataFrame, total: int, dim: int, threshold: float, sample: int, leaf: int) -> DataFrame:
+def _links(classes: DataFrame, total: int, threshold: float, sample: int, leaf: int) -> DataFrame:
     """a, gained, b of all links between classes (key, data, copies)."""
     spark = classes.sparkSession
     share = min(1.0, sample / max(total, 1))
     chosen = classes.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).select("key", "data")
     rows = chosen.orderBy(F.xxhash64("key", F.lit(SEED + 1)), "key").limit(CENTRES).collect()
-    x = unit(np.frombuffer(b"".join(r["data"] for r in rows), np.float64).reshape(len(rows), -1)) if rows else np.zeros((1, max(dim, 1)))
-    celled = classes.select("key", "data", "copies").mapInArrow(_cells(spark.sparkContext.broadcast(x)), "key binary, data binary, copies long, cell int")
+    centres: dict[int, list] = {}
+    for r in rows:
+        centres.setdefault(len(r["data"]) // 8, []).append(np.frombuffer(r["data"], np.float64))
+    sent = spark.sparkContext.broadcast({dim: unit(np.stack(x)) for dim, x in centres.items()})
+    celled = classes.select("key", "data", "copies").mapInArrow(_cells(sent), "key binary, data binary, copies long, dim int, cell int")
     folder = scratch(spark, "blocks")
     # a few blocks a task, so that their number doesn't depend on that of the partitions
     n = max(1, min(shuffle_partitions(spark), -(-total // (4 * leaf))))
-    dealt = celled.repartitionByRange(n, "cell", "key").sortWithinPartitions("cell", "key").coalesce(n)
+    dealt = celled.repartitionByRange(n, "dim", "cell", "key").sortWithinPartitions("dim", "cell", "key").coalesce(n)
     packed, _ = stored(dealt.mapInArrow(_pack(folder, leaf), BLOCKS), "block-list")
     found = sorted(((r["file"], r["held"], np.frombuffer(r["centre"], np.float64), r["radius"]) for r in packed.collect()), key=lambda r: r[2].tobytes())
     pairs = len(found) * (len(found) + 1) // 2
@@ -234,12 +243,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int | None =
     no vectors are parted by trees any more."""
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     keyed, _ = stored(source.mapInArrow(_keys, "vec_id long, dim int, key binary, data binary"), "vectors")
-    sizes = keyed.where("dim is not null").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim = sizes["dim"] if sizes else 0
-    able = keyed.where(F.col("dim") == dim)
+    able = keyed.where("dim is not null")
     counted = able.groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     classes, _ = stored(counted.join(able.select("key", "data").dropDuplicates(["key"]), "key"), "classes")
-    found = _links(classes, classes.count(), dim, threshold, sample, leaf)
+    found = _links(classes, classes.count(), threshold, sample, leaf)
     labels = components(found.select("a", "b"))
     gained = found.groupBy(F.col("a").alias("key")).agg(F.sum("gained").alias("gained"))
     named = classes.select("key", "copies", "first").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -247,7 +254,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int | None =
     by_class = named.join(least, "label").join(gained, "key", "left").select(
         "key", (F.col("copies") - 1 + F.coalesce("gained", F.lit(0))).alias("n_links"), "component_id"
     )
-    own = keyed.select("vec_id", F.when(F.col("dim") == dim, F.col("key")).alias("key"))
+    own = keyed.select("vec_id", "key")
     component = F.coalesce("component_id", "vec_id")
     return own.join(by_class, "key", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")
