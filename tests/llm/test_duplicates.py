@@ -32,6 +32,8 @@ def test_components(spark):
     got = {r["id"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     for x in {x for link in links for x in link}:
         assert got.get(x, x) == want.find(x)
+    beyond = components.components(spark.createDataFrame(links, "a long, b long"), local=0)
+    assert {r["id"]: r["label"] for r in beyond.collect()} == got
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -128,6 +130,35 @@ def test_near_duplicates(spark, k, percent):
     assert near_dup.near_duplicates(df.limit(0), k, percent).count() == 0
 
 
+def test_near_duplicates_of_large_groups(spark, monkeypatch):
+    """Groups of near copies and of texts around one passage go over many small blocks and all tasks."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(300)]
+    base, passage = [[rng.choice(vocabulary) for _ in range(n)] for n in (60, 45)]
+    docs = [[rng.choice(vocabulary) if rng.random() < share else w for w in base] for share in (0.01, 0.03, 0.08) for _ in range(70)]
+    docs += [[rng.choice(vocabulary) for _ in range(rng.randint(4, 12))] + passage for _ in range(120)] + [base] * 90
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, class string, band int").repartition(4)
+    want = brute_near(rows, 3, 85)
+    for block in (near_dup.BLOCK, 7):
+        got = near_dup.judged_rows(df, 3, 85, block=block).selectExpr("doc_id", "n", "coalesce(component_id, doc_id) c", "doc_id = coalesce(component_id, doc_id) k")
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_block_links_are_a_forest():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(200) > 0.03], rng.integers(0, 1 << 62, 3).astype(np.uint64)])) for _ in range(40)]
+    sets += [np.unique(rng.integers(0, 1 << 62, 50).astype(np.uint64)) for _ in range(5)]
+    label = np.arange(45) * 10
+    label[:4] = 0
+    links = near_dup.block_links(sets, label, np.zeros(45, int), 85)
+    assert len(links) == 36 and all(i < 40 and j < 40 for i, j in links)
+    side = (np.arange(45) % 2).astype(int)
+    assert all(side[i] != side[j] for i, j in near_dup.block_links(sets, np.arange(45), side, 85))
+
+
 def test_register_estimates():
     rng = np.random.default_rng(7)
     off = []
