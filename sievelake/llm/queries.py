@@ -119,6 +119,26 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles
+  FROM w
+), e AS (SELECT r, len(shingles) AS n, hash(unnest(shingles)) AS h FROM s), x AS (
+  SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.h = b.h AND a.r <> b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), c AS (SELECT r AS a, r AS b FROM s UNION SELECT c.a, x.b FROM c JOIN x ON c.b = x.a),
+m AS (SELECT c.a AS r, min(s.doc_id) AS component_id FROM c JOIN s ON c.b = s.r GROUP BY c.a)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id,
+       s.doc_id IS NOT DISTINCT FROM coalesce(component_id, s.doc_id) AS kept
+FROM s JOIN m ON s.r = m.r
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -142,4 +162,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_embedding_near_dup": OP3_SQL, "op8_url_filter": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_embedding_near_dup": OP3_SQL, "op8_url_filter": OP8_SQL, "op9_minhash_near_dup": OP9_SQL}
