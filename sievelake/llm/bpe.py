@@ -14,6 +14,7 @@ Vocabulary files are parameters (paths); nothing of them is stored here.
 from __future__ import annotations
 
 import base64
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -275,27 +276,54 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class LibraryEncoder:
-    """The tokenizers library's byte-level BPE, asked once for each distinct word of a batch.
+    """The ids that the tokenizers library's encode(text, add_special_tokens=False) gives for a byte-level
+    BPE file, asked once for each distinct word of a batch.
 
-    Special tokens' strings in a text are ordinary text.
+    The file's added tokens are one id each wherever they stand in a text; what lies
+    between them is split by itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.letters = {i: c for i, c in byte_alphabet().items()}
         self.cache = WordCache(self._encode)
+        added = self.library.get_added_tokens_decoder()
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        #: tokens that take white space or want word boundaries are left to the library
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.cut = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + b")") if added else None
 
     def _encode(self, words: list[bytes]) -> list[tuple]:
         letters, tokenize = self.letters, self.model.tokenize
         return [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in words]
 
-    def batch(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts (UTF-8) one after the other and the number of each text's ids."""
+    def _between(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words = split_bytes(raw)
         return in_place(words, *self.cache.spans(words))
 
+    def batch(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts (UTF-8) one after the other and the number of each text's ids."""
+        if not any(t in x for x in raw for t in self.added):
+            return self._between(raw)
+        cuts = [self.cut.split(x) for x in raw]
+        spans, special = [x for c in cuts for x in c[::2]], [x for c in cuts for x in c[1::2]]
+        whole = np.fromiter((len(c) // 2 + 1 for c in cuts), np.int64, len(cuts))
+        ids, counts = self._between(spans)
+        stops = np.cumsum(counts)
+        last = np.zeros(len(spans), bool)
+        last[np.cumsum(whole) - 1] = True
+        ids = np.insert(ids, stops[~last], [self.added[t] for t in special])
+        totals = np.add.reduceat(counts, np.cumsum(whole) - whole) + whole - 1
+        if self.plain:
+            return ids, totals
+        lists = np.split(ids, np.cumsum(totals)[:-1])
+        for k in np.flatnonzero(whole > 1).tolist():
+            lists[k] = np.array(self.library.encode(raw[k].decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
+        return np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
+
 
 def in_place(words: Words, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Puts the ids of the distinct words in the places of their pre-tokens; ids and the number of each text's."""
@@ -310,6 +338,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
+def largest_id(path: str) -> int:
+    """The largest id of a tokenizer file, its added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)

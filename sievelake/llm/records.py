@@ -5,7 +5,7 @@ A shard is a file of frames, one for each document, in ascending doc_id order:
     uint64 length | uint32 masked CRC-32C of those 8 bytes | payload | uint32 masked CRC-32C of the payload
 
 all little-endian.  The payload is the serialized sequence: int64 doc_id, uint8
-width of an id in bytes (2 or 4, by the vocabulary's size), then the ids.  Beside
+width of an id in bytes (2 or 4, by the tokenizer's largest id), then the ids.  Beside
 it stands an index file of int64 pairs (offset of the frame, number of ids), so a
 reader can fetch any record by itself, in any order.
 
@@ -13,8 +13,8 @@ Shards are written by executors under a temporary name and moved to their final
 one, so a task that runs twice leaves one whole file.
 
 Defined results: a null or empty text gives the end id alone; rows with a null
-doc_id come first; equal doc_ids stand next to each other ordered by text, each
-with its own record; an empty table gives no shard; other columns are ignored.
+doc_id come first; equal doc_ids stand next to each other in the order of their
+texts' hashes, each with its own record; an empty table gives no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,6 +135,8 @@ def unframe(data: bytes, sizes: np.ndarray | None = None) -> list[bytes]:
 
 
 def pack_sequence(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    if len(ids) and int(ids.max()) >= 1 << (8 * width):
+        raise ValueError(f"an id doesn't fit {width} bytes")
     return struct.pack("<qB", NO_ID if doc_id is None else doc_id, width) + ids.astype(f"<u{width}").tobytes()
 
 
@@ -143,16 +145,18 @@ def unpack_sequence(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if doc_id == NO_ID else doc_id, np.frombuffer(payload, f"<u{width}", offset=9)
 
 
-def write_token_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, vocabulary: int = 50257) -> DataFrame:
+def write_token_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Encodes every text, appends end_id, writes shards in doc_id order; returns the manifest.
 
     docs: doc_id, text.  One range shuffle of the texts; a shard is written as it
     streams by, so a task holds one block of texts and no more.
     """
     spark = docs.sparkSession
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = 2 if max(bpe.largest_id(tokenizer), end_id) < 1 << 16 else 4
     n = shuffle_partitions(spark)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows with one doc_id, or none, may fill many ranges: their texts' hashes part them
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("seal"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "seal").sortWithinPartitions("doc_id", "seal", "text")
 
     def write(batches):
         shard = TaskContext.get().partitionId()
