@@ -11,8 +11,11 @@
 
 Texts themselves aren't shuffled: what travels is each word once for a group and
 a compressed number for each pre-token.  A word stands at most once in a group,
-so frequent words make no hot key.  Both passes over the input must number words
-alike; a digest of every block of texts is compared to make sure of it.
+and a group is named by its task and first block and bounded in bytes and words,
+so neither frequent words nor many texts make a hot key.  Both passes over the
+input must number words alike: an input that comes out of a shuffle, whose order
+may change when an executor is lost, is written to the shared folder first, and a
+digest of every block of texts is compared to make sure of it.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import bpe
-from .common import octets, parts, shuffle_partitions
+from .common import octets, parts, shuffle_partitions, stored
 
-#: A group ends with the block in which its distinct words pass this number; bounds a task's dictionary.
-GROUP_WORDS = 400_000
+#: A group ends with the block in which its distinct words or its texts' bytes pass these numbers; bounds
+#: a task's dictionary and what one key can bring to a task.
+GROUP_WORDS, GROUP_BYTES = 400_000, 32 << 20
 PACKED = "part long, kind int, seq int, payload binary"
 
 
@@ -78,20 +83,21 @@ class _Numbers:
 
 def _blocks(batches):
     """(group, number of the block in it, digest, doc_ids, texts, word numbers, pre-tokens by text, new words)."""
-    numbers, group, seq = None, 0, 0
+    numbers, group, seq, size, block = None, 0, 0, 0, 0
     for batch in batches:
         ids, raw = batch.column("doc_id"), octets(batch, "text")
+        task = batch.column("task")[0].as_py() if batch.num_rows else 0
         for i, j in parts(raw, bpe.BLOCK_BYTES):
             words = bpe.split_bytes(raw[i:j])
             names = ids.slice(i, j - i)
             keys = np.array([-(1 << 63) if x is None else x for x in names.to_pylist()], np.int64)
             seal = xxh3_64_intdigest(words.data + keys.tobytes()) - (1 << 63)
             if numbers is None:
-                numbers, group, seq = _Numbers(), seal, 0
+                numbers, group, seq, size = _Numbers(), (task << 32) + block, 0, 0
             codes, fresh = numbers.of(words)
             yield group, seq, seal, keys, codes, words.counts, fresh, numbers.size - len(fresh)
-            seq += 1
-            if numbers.size > GROUP_WORDS:
+            seq, block, size = seq + 1, block + 1, size + len(words.data)
+            if numbers.size > GROUP_WORDS or size > GROUP_BYTES:
                 numbers = None
 
 
@@ -185,7 +191,8 @@ def _joined(path: str, pattern: str, visit):
                 _, seq, seal = head.tolist()
                 if kind == 0:
                     answers.append(rest)
-                    seals[seq] = seal
+                    if seals.setdefault(seq, seal) != seal:
+                        raise RuntimeError("two blocks have one name")
                     continue
                 if ready is None:
                     ready = _dictionary(answers)
@@ -251,6 +258,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, visit=_lists, schema: str
     """
     n = shuffle_partitions(docs.sparkSession)
     docs = docs.select("doc_id", "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs, _ = stored(docs, "texts")
+    # the number of the input's partition, the same in both passes
+    docs = docs.withColumn("task", F.spark_partition_id().cast("long"))
     asked = docs.mapInArrow(_ask(n), PACKED).repartition(n, "part")
     answered = asked.mapInArrow(_encode(ranks, pattern), PACKED)
     together = answered.unionByName(docs.mapInArrow(_texts, PACKED)).repartition(n, "part").sortWithinPartitions("part", "kind", "seq")
