@@ -41,8 +41,14 @@ def parse(url: str | None) -> tuple[str, str]:
     return (m[1].translate(_UPPER), m[2]) if m else ("", "")
 
 
+#: the bytes that part labels, hosts and paths, as they stand in a host's own text
+_ESCAPES = {i: f"\x02{chr(i + 1)}" for i in range(3)}
+
+
 def host_key(host: str) -> bytes:
-    return "\x01".join(reversed(host.split("."))).encode()
+    if host.isprintable():
+        return "\x01".join(reversed(host.split("."))).encode()
+    return "\x01".join(reversed(host.translate(_ESCAPES).split("."))).encode("utf-8", "replace")
 
 
 def page_key(host: str, path: str) -> bytes:
