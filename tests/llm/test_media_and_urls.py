@@ -110,3 +110,12 @@ def test_url_rules(spark):
     assert got == want
     assert url_filter.judge(pages.limit(0), table).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages, table.limit(0)).collect()} == {"allow"}
+
+
+def test_hosts_with_control_bytes(spark):
+    hosts = [f"{a}com{b}" for a in ("", ".", "x.", "x\x00", "\x01.", "\x02") for b in ("", ".", "\x00x", "\x01x", "\x02x", "\x03", "\x00", "\x01", "\x02")]
+    urls = [f"http://{h}/en/a" for h in hosts]
+    rules = [("com", "/en/", "block"), ("com\x01x", "/en/", "allow"), ("com\x02x", "/", "block"), ("\x01.com", "/en/a", "allow"), ("com\x00", "", "block")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}

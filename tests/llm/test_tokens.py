@@ -13,7 +13,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from sievelake.llm import bpe, packing, piece_counts, records, word_shuffle  # noqa: E402
 
 JSON, RANKS, PIECES = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"))
-ODD = ["", None, "a", " ", "it's 's 'tt 'rex x'll'd", "  a \n b\n\n", "é'l 1٣ x²½ 　c", "日本 語!?\n", "<|endoftext|> x", "word " * 3000, "a" * 5000, "same", "same"]
+ODD = ["", None, "a", " ", "it's 's 'tt 'rex x'll'd", "  a \n b\n\n", "é'l 1٣ x²½ 　c", "日本 語!?\n", "<|endoftext|> x", "a <|endoftext|><|endoftext|>\n <|endof", "word " * 3000, "a" * 5000, "same", "same"]
 
 
 def docs_of(spark, texts, extra=False):
@@ -27,7 +27,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -144,6 +143,54 @@ def test_bpe_by_distinct_words(spark, monkeypatch):
     assert word_shuffle.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_texts_with_added_tokens(library):
+    rng = random.Random(4)
+    bits = ["<|endoftext|>", " ", "a", "<|", "x y", "\n", "", "é's", "|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(1500)]
+    ids, counts = bpe.LibraryEncoder(JSON).batch([t.encode() for t in texts])
+    assert ids.tolist() == [i for t in texts for i in library(t)]
+    assert counts.tolist() == [len(library(t)) for t in texts]
+
+
+def test_ids_that_need_four_bytes(spark, library, tmp_path):
+    assert bpe.largest_id(JSON) == 50256
+    with pytest.raises(ValueError):
+        records.pack_sequence(1, np.array([70_000]), 2)
+    docs = spark.createDataFrame([(3, "some text")], "doc_id long, text string")
+    row = records.token_records(docs, JSON, end_id=70_000, out_dir=f"file://{tmp_path}/r").first()
+    ids = library("some text") + [70_000]
+    assert tuple(row) == (3, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_records_and_packing_of_one_id(spark):
+    texts = [f"text {i}" for i in range(200)]
+    for key in (None, 7):
+        docs = spark.createDataFrame([(key, t, "n", i) for i, t in enumerate(texts)], "doc_id long, text string, start string, offset int").repartition(3)
+        got = records.token_records(docs, JSON).collect()
+        assert len(got) == 200 and {r["doc_id"] for r in got} == {key}
+        assert sorted(r["start"] for r in got) == np.cumsum([0] + [r["n_tokens"] for r in sorted(got, key=lambda r: r["start"])])[:-1].tolist()
+        assert len({r["ids_crc32"] for r in got}) == 200
+        pieces = packing.pack(docs, JSON).collect()
+        assert {r["doc_id"] for r in pieces} == {key} and sum(r["length"] for r in pieces) == sum(r["n_tokens"] for r in got)
+        assert [len(x.collect()) for x in (word_shuffle.encode(docs, RANKS, public_tokenizers.PATTERN), piece_counts.count_tokens(docs, PIECES))] == [200, 200]
+
+
+def test_tasks_with_equal_first_blocks(spark, tmp_path):
+    """Every task's first block is the same long text, or the same rows with null ids."""
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    long = " ".join(f"w{i % 5000}" for i in range(900_000))
+    assert len(long) > bpe.BLOCK_BYTES
+    rows = [[(1, long), (2, "first file's words")], [(1, long), (3, "others here")], [(None, "same"), (None, "more")], [(None, "same"), (None, "less")]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/d")
+    want = sorted((str(d), own.encode_ordinary(t)) for part in rows for d, t in part)
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    for df in (docs, docs.repartition(4)):
+        assert sorted((str(r["doc_id"]), r["ids"]) for r in word_shuffle.encode(df, RANKS, public_tokenizers.PATTERN).collect()) == want
+
+
 def test_longest_match_automaton():
     pieces = ["▁", "▁a", "▁ab", "▁abc", "b", "bc", "bcd", "c", "cd", "d", "de", "▁abcdx", "xyz", "x"]
     automaton, rng = piece_counts.Automaton(pieces), random.Random(2)
