@@ -34,3 +34,28 @@ def test_a_dense_cluster_loses_no_link(spark, tmp_path):
     print("links found", rows["n_links"].sum(), "of", links.sum())
     assert np.array_equal(rows["n_links"], links)
     assert np.array_equal(rows["component_id"], least) and np.array_equal(rows["kept"], least == np.arange(n))
+
+
+def test_recall_with_fifty_thousand_vectors(spark, tmp_path):
+    """Beyond the sample whose links no cut parts: 10,000 near copies, pairs near the threshold, the rest at random."""
+    rng = np.random.default_rng(23)
+    n, dim = 50_000, 64
+    x = rng.standard_normal((n, dim))
+    x[:10_000] = x[0] + 0.2 * rng.standard_normal((10_000, dim))
+    base = x[20_000:23_000] / np.linalg.norm(x[20_000:23_000], axis=1, keepdims=True)
+    off = rng.standard_normal(base.shape)
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = np.repeat([0.905, 0.93, 0.96], 1000)[:, None]
+    x[30_000:33_000] = cosine * base + np.sqrt(1 - cosine**2) * off
+    order = rng.permutation(n)
+    x = x[order].astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x)}), f"{tmp_path}/v.parquet", row_group_size=5000)
+    rows = forest.near_vectors(spark.read.parquet(f"{tmp_path}/v.parquet")).toPandas().sort_values("vec_id")
+    u = forest.unit(x.astype(np.float64))
+    links = np.concatenate([(u[a : a + 1000] @ u.T >= 0.9).sum(1) - 1 for a in range(0, n, 1000)])
+    found = rows["n_links"].to_numpy()
+    pairs = (order >= 20_000) & (order < 33_000) & (links > 0)
+    print("links found", found.sum(), "of", links.sum(), "; pairs apart", found[pairs].sum(), "of", links[pairs].sum())
+    assert (found <= links).all()
+    assert found.sum() >= 0.99 * links.sum() and found[pairs].sum() >= 0.98 * links[pairs].sum()
