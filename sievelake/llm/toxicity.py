@@ -7,16 +7,21 @@ posterior probability.  A linear classifier over words and word beginnings is
 trained on these posteriors and scores all texts; its intercept puts 0.5 in the
 gap between the sample's toxic and clean rows.
 
-Fitting sees a bounded sample of labelled rows (SAMPLE_ROWS, chosen by a hash of
-doc_id); labels of rows with crc32(doc_id) mod 5 = 0 are never read.  Labels serve
-to find the lexicons and to fix which of the model's two sides is toxic.
-Inputs of a score are the text's words only.  Scoring covers every row and takes
-no shuffle.
+Fitting sees a bounded sample of labelled rows (SAMPLE_ROWS, chosen by hashes),
+written to the shared folder; labels of rows with crc32(doc_id) mod 5 = 0 are never
+read.  Labels serve to find the lexicons and to fix which of the model's two sides
+is toxic.  Features are counted, and those that tell the sides apart chosen, where
+the rows are; the driver gets the chosen ones and their places in sampled rows.
+Inputs of a score are the text's words only, whatever their length: a run of more
+than LONG characters, as of scripts without spaces, has the beginnings that start
+at any of its characters.  Scoring covers every row and takes no shuffle.
 
 Defined results: null and empty texts score as texts without words; a text's
-score doesn't depend on its other columns, so repeated texts score alike; without
-any labelled toxic or clean row all scores are the share of toxic rows (0 without
-labels); an empty table gives no rows.
+score doesn't depend on its other columns, so repeated texts score alike; labels
+of a null doc_id are not read, and of several labels of a doc_id the highest
+counts; without any labelled toxic or clean row all scores are the share of toxic
+rows (0 without labels); an empty table gives no rows; a column of the result's
+name in the input is replaced.
 """
 
 from __future__ import annotations
@@ -29,16 +34,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
 
-from . import bpe
-from .common import octets, parts, with_columns
+from . import bpe, near_dup
+from .common import map_columns, octets, parts, remove, stored, with_columns, without
 
 SAMPLE_ROWS = 20_000  # labelled rows that fitting may see
 FOLDS = 5  # rows with crc32(doc_id) mod FOLDS = 0 are held out
 BEGINNINGS = (4, 5, 6, 7)  # characters of word beginnings
 MIN_TOXIC, MIN_LIFT = 5, 40.0  # rows with the feature among toxic ones; odds against clean ones
-FEATURES = 4_000  # of the classifier, at most
+ROUGH_LIFT = MIN_LIFT / 8  # the same before copies of a text are counted once
+LONG = 40  # characters of a word; longer ones are runs
+PIECE = 1 << 20  # characters of a run whose beginnings are gathered at once in counting
+COPY_PAIRS = 4  # smallest hashes of pairs of words that copies of a text share
 LEXICONS = 12  # voters that share out a kind of feature
 
 
@@ -49,8 +56,8 @@ KINDS = WORD + ONE + TWO + FOUR
 
 def features_of(word: str) -> list[str]:
     """A word and its beginnings, told apart by a mark."""
-    if len(word) < 3 or len(word) > 40:
-        return []
+    if len(word) > LONG:
+        return list(dict.fromkeys(ONE + word[i : i + k] for i in range(len(word) - BEGINNINGS[0] + 1) for k in BEGINNINGS if i + k <= len(word)))
     return [WORD + word, *(ONE + word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
@@ -61,7 +68,11 @@ def _lower(raw: list[bytes]) -> list[bytes]:
 def features_of_text(text: bytes) -> set[str]:
     """All features of a text."""
     words = bpe.split_bytes(_lower([text]), bpe.word_starts, drop_space=True)
-    counts = Counter(f for w in words.distinct() for f in features_of(w.decode("utf-8", "replace")))
+    return _features([w.decode("utf-8", "replace") for w in words.distinct()])
+
+
+def _features(words: list[str]) -> set[str]:
+    counts = Counter(f for w in words for f in features_of(w))
     more = {TWO + f[1:] for f, n in counts.items() if n >= 2 and f[0] == ONE} | {FOUR + f[1:] for f, n in counts.items() if n >= 4 and f[0] == ONE}
     return more | counts.keys()
 
@@ -81,8 +92,17 @@ class Finder:
                 if f[0] == ONE:
                     table[i] = names.get(kind + f[1:], -1)
 
+        heads = {f[1 : 1 + BEGINNINGS[0]] for f in ids if f[0] == ONE}
+
         def encode(words: list[bytes]) -> list[list[int]]:
-            return [[ids[f] for f in features_of(w.decode("utf-8", "replace")) if f in ids] for w in words]
+            return [_known(w.decode("utf-8", "replace")) for w in words]
+
+        def _known(word: str) -> list[int]:
+            if len(word) <= LONG:
+                return [ids[f] for f in features_of(word) if f in ids]
+            k = BEGINNINGS[0]
+            at = [i for i in range(len(word) - k + 1) if word[i : i + k] in heads]
+            return list({ids[f]: 0 for i in at for f in features_of(word[i : i + BEGINNINGS[-1]]) if f[0] == ONE and f in ids})
 
         self.cache = bpe.WordCache(encode)
 
@@ -222,36 +242,69 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text, toxic of the sampled labelled rows that aren't held out.  Several labels of a doc_id: the highest counts."""
+def _share(wanted: int, there: int, *columns: str):
+    """Condition that about wanted of there rows meet, by a hash of columns; all do if they aren't more."""
+    whole = 1 << 40
+    return F.pmod(F.xxhash64(*columns, F.lit(11)), F.lit(whole)) < max(1, min(whole, int(wanted / max(there, 1) * whole)))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, str]:
+    """doc_id, text, toxic of about sample_rows labelled rows at most, none held out, written to the shared folder.
+    Several labels of a doc_id: the highest counts.  Several rows of a doc_id: those with equal texts are one."""
     known = (
         labels.where("doc_id is not null and toxic is not null")
         .where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != 0)
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    total = known.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    # at most about sample_rows rows of two numbers: small enough to send to every task at any size of the input
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    chosen = known.where(_share(sample_rows, known.count(), "doc_id"))
+    # about sample_rows rows of two numbers: small enough to send to every task at any size of the input
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = rows.withColumn("seal", F.md5(F.coalesce("text", F.lit(""))))
+    first, path = stored(rows.groupBy("doc_id", "seal").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "sample")
+    there = first.count()
+    return (first if there <= 1.2 * sample_rows else first.where(_share(sample_rows, there, "doc_id", "seal"))), path
 
 
 def _counts(batches):
-    """Rows that have each feature, by batch."""
+    """Toxic and clean rows that have each feature, by batch."""
     for batch in batches:
-        counts: Counter = Counter()
-        for text in octets(batch, "text"):
-            counts.update(features_of_text(text))
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(list(counts), pa.string()), "n_toxic": pa.array(list(counts.values()), pa.int64())})
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for toxic, text in zip(part.column("toxic").to_pylist(), octets(part, "text"), strict=True):
+                words = [w.decode("utf-8", "replace") for w in bpe.split_bytes(_lower([text]), bpe.word_starts, drop_space=True).distinct()]
+                counts[toxic != 1].update(_features([w for w in words if len(w) <= PIECE]))
+                for w in words:  # a run of a million characters is several holders of its beginnings
+                    for i in range(0, len(w) if len(w) > PIECE else 0, PIECE):
+                        counts[toxic != 1].update(_features([w[i : i + PIECE + BEGINNINGS[-1]]]))
+            names = list(counts[0].keys() | counts[1].keys())
+            for i in range(0, len(names), 100_000):
+                own = names[i : i + 100_000]
+                yield pa.RecordBatch.from_pydict(
+                    {"feature": pa.array(own, pa.string()), "n_toxic": pa.array([counts[0][f] for f in own], pa.int64()), "n_clean": pa.array([counts[1][f] for f in own], pa.int64())}
+                )
+
+
+def _telling(rows: DataFrame) -> list[str]:
+    """Features that enough toxic rows have and few clean ones: only these come to the driver."""
+    toxic, every = rows.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
+    if not toxic or toxic == every:
+        return []
+    counted = rows.select("text", "toxic").mapInArrow(_counts, "feature string, n_toxic long, n_clean long")
+    counted = counted.groupBy("feature").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c"))
+    lift = (F.col("t") + 0.5) / (F.col("c") + 0.5) * ((every - toxic + 1) / (toxic + 1))
+    enough, path = stored(counted.where(F.col("t") >= min(MIN_TOXIC, max(2, toxic // 4))).withColumn("lift", lift), "features")
+    found = enough.where(F.col("lift") >= ROUGH_LIFT).orderBy(F.desc("t"), "feature").collect() or enough.orderBy(F.desc("lift"), "feature").limit(1).collect()
+    remove(rows.sparkSession, path)
+    return [r["feature"] for r in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits all parts on the sample.  The driver gets features that enough toxic rows have, and for
-    each sampled row the numbers of those it holds: bounded by sample_rows."""
-    rows = training_rows(docs, labels, sample_rows)
-    counted = rows.where("toxic = 1").mapInArrow(_counts, "feature string, n_toxic long").groupBy("feature").agg(F.sum("n_toxic").alias("n"))
-    found = [r[0] for r in counted.where(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "feature").limit(20 * FEATURES).collect()]
+    """Fits all parts on the sample.  The driver gets telling features and for each sampled row the
+    numbers of those it holds: bounded by sample_rows."""
+    rows, path = training_rows(docs, labels, sample_rows)
+    found = _telling(rows)
     names = {f: i for i, f in enumerate(found)}
 
     def held(batches):
@@ -260,26 +313,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             raw = octets(batch, "text")
             for i, j in parts(raw, bpe.BLOCK_BYTES):
                 own = finder.present(raw[i:j])
+                copy = [x[:COPY_PAIRS].tobytes() for x in near_dup.shingle_sets(raw[i:j], 2)]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column("doc_id").slice(i, j - i), "toxic": batch.column("toxic").slice(i, j - i).cast(pa.int32()), "own": pa.array([x.astype("<i4").tobytes() for x in own], pa.binary())}
+                    {
+                        "doc_id": batch.column("doc_id").slice(i, j - i),
+                        "toxic": batch.column("toxic").slice(i, j - i).cast(pa.int32()),
+                        "own": pa.array([x.astype("<i4").tobytes() for x in own], pa.binary()),
+                        "copy": pa.array(copy, pa.binary()),
+                    }
                 )
 
-    sample = sorted(rows.mapInArrow(held, "doc_id long, toxic int, own binary").collect(), key=lambda r: (r["doc_id"], r["own"]))
+    sample = rows.select("doc_id", "text", "toxic").mapInArrow(held, "doc_id long, toxic int, own binary, copy binary").collect()
+    sample.sort(key=lambda r: (r["doc_id"], r["own"], r["copy"]))
+    remove(docs.sparkSession, path)
     toxic = np.array([r["toxic"] == 1 for r in sample], bool)
     if not toxic.any() or toxic.all() or not found:
         return Model({}, np.zeros(0), float(np.log(max(toxic.mean() if len(toxic) else 0, 1e-9) / max(1 - (toxic.mean() if len(toxic) else 0), 1e-9))))
     own = [np.frombuffer(r["own"], "<i4") for r in sample]
-    # near copies of one text would make each of its words look toxic: rows with equal features count once
+    # near copies of one text would make each of its words look toxic: rows with the same smallest pairs of words count once
     seen, side, by_side = set(), [0, 0], np.zeros((2, len(found)), np.int64)
-    for t, x in zip(toxic.tolist(), own, strict=True):
-        if (name := (t, xxh3_128_digest(x))) not in seen:
+    for t, x, r in zip(toxic.tolist(), own, sample, strict=True):
+        if (name := (t, bytes(r["copy"]))) not in seen:
             seen.add(name)
             side[not t] += 1
             by_side[int(not t), x] += 1  # a row's features are distinct
     n_toxic, n_clean = by_side
     lift = (n_toxic + 0.5) / (n_clean + 0.5) * ((side[1] + 1) / (side[0] + 1))
     good = np.flatnonzero((n_toxic >= min(MIN_TOXIC, max(2, side[0] // 4))) & (lift >= MIN_LIFT))
-    good = good[np.lexsort((good, -n_toxic[good]))][:FEATURES]
+    good = good[np.lexsort((good, -n_toxic[good]))]
     kind_of = np.array([KINDS.index(f[0]) for f in found], np.int64)
     good = np.concatenate([g[_needed(own, toxic, g)] for g in (good[kind_of[good] == k] for k in range(1 + len(BEGINNINGS)))])
     if not len(good):
@@ -330,8 +391,9 @@ def _needed(own: list[np.ndarray], toxic: np.ndarray, good: np.ndarray, least: i
     return np.array(keep, np.int64)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of docs, and __score."""
+def score(docs: DataFrame, model: Model, into: str = "__score") -> DataFrame:
+    """All rows and columns of docs, and the score in a column named into."""
+    docs = without(docs, into)
     text_at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias))
 
@@ -343,9 +405,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = []
             for i, j in parts(raw, bpe.BLOCK_BYTES):
                 scores += [own_model.score(x) for x in finder.present(raw[i:j])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, with_columns(docs.schema, __score="double"))
+    schema = with_columns(docs.schema, **{into: "double"})
+    names = schema.fieldNames()
+    return map_columns(docs, run, schema)
 
 
 def held_out(doc_id: int) -> bool:
