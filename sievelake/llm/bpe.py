@@ -214,7 +214,7 @@ class WordCache:
     encode takes a list of words (bytes) and returns a list of their ids.
     """
 
-    def __init__(self, encode, most: int = 3_000_000):
+    def __init__(self, encode, most: int = 1_500_000):
         self.encode, self.most = encode, most
         self._forget()
 

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -16,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of this process."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on this machine (tests), one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sievelake-")
         atexit.register(_remove_local, found.removeprefix("file://"))
         spark.conf.set("spark.checkpoint.dir", found)
@@ -34,8 +37,19 @@ def _remove_local(path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/sievelake/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in the application's own one, which goes when the application ends."""
+    own = f"{shared_dir(spark)}/sievelake/{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(own)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_owned: set[str] = set()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -69,6 +83,37 @@ def file_system(path: str):
     return fs.LocalFileSystem(), path
 
 
+def column(name: str) -> Column:
+    """A column by its plain name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for further columns that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names."""
+    gone = {n.lower() for n in names}
+    return df.select(*(column(c) for c in df.columns if c.lower() not in gone)) if gone & {c.lower() for c in df.columns} else df
+
+
+def map_columns(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow over columns of any name; run goes by their places."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def with_columns(schema: T.StructType, **kinds: str) -> T.StructType:
     """A schema with more columns."""
     return T.StructType([*schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items())])

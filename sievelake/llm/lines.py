@@ -16,7 +16,8 @@ that go meet by document and become a compressed bitmap of the lines kept.
 Defined results: a null or empty text is one empty line; rows with the same
 doc_id count as one document, and each row is judged by its own lines; a null
 doc_id is a document below all others; an empty table gives no rows; other
-columns pass through unchanged.
+columns pass through unchanged, but for those named as the two counts, which
+these replace.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import octets, shuffle_partitions, stored, with_columns
+from .common import columns, free_names, map_columns, octets, shuffle_partitions, stored, with_columns, without
 
 MIN_CHARS, MIN_DOCS = 20, 3
 NO_DOC = -(1 << 63)
+BROADCAST_TASKS = 200_000  # tasks whose edges, two rows of some 50 bytes each, are sent to all; joined by a shuffle beyond
 DROPS, UNDECIDED, COUNT = 0, 1, 2  # kinds of a stream's rows
 STREAM = "kind int, one long, two long, task int, nth long, doc long, seal long, n_lines int, places array<int>"
 
@@ -154,7 +156,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     )
     judged = (
         found.where(F.col("kind") == UNDECIDED)
-        .join(F.broadcast(edges), ["one", "two", "task"])
+        .join(F.broadcast(edges) if n <= BROADCAST_TASKS else edges, ["one", "two", "task"])
         .where((F.col("docs") >= min_docs) & (F.col("before") + F.col("nth") >= 1))
     )
     columns = ["doc", "seal", "n_lines", "places"]
@@ -182,7 +184,7 @@ def _bitmaps(batches):
         )
 
 
-def _apply(text_at: int):
+def _apply(text_at: int, names: list[str]):
     def run(batches):
         for batch in batches:
             texts, sizes, dropped = [], [], []
@@ -198,23 +200,22 @@ def _apply(text_at: int):
                 texts.append("\n".join([x for x, k in zip(lines, keep.tolist(), strict=True) if k]))
                 dropped.append(len(lines) - int(keep.sum()))
             own[text_at] = pa.array(texts, pa.string())
-            names = [*batch.schema.names[:-1], "__n_lines", "__n_dropped"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64())], names=names)
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All rows and columns of docs with the text that stays, and __n_lines, __n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: tuple[str, str] = ("__n_lines", "__n_dropped")) -> DataFrame:
+    """All rows and columns of docs with the text that stays, and two columns, named counts: lines before, lines dropped.
 
     The texts meet their bitmaps by (doc_id, hash of the text), so one shuffle
     moves texts.  Null texts stay null.
     """
-    marked = docs.withColumns(
-        {"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), "__seal": F.xxhash64(F.coalesce("text", F.lit("")))}
-    )
-    bitmaps = keep_bitmaps(marked.select(F.col("__doc").alias("doc"), F.col("__seal").alias("seal"), "text"), min_chars, min_docs)
-    bitmaps = bitmaps.select(F.col("doc").alias("__doc"), F.col("seal").alias("__seal"), F.col("bitmap").alias("__bitmap"))
-    joined = marked.join(bitmaps, ["__doc", "__seal"], "left").select(*[marked[c] for c in docs.columns], "__bitmap")
-    schema = with_columns(docs.schema, __n_lines="long", __n_dropped="long")
-    return joined.mapInArrow(_apply(docs.columns.index("text")), schema)
+    docs = without(docs, *counts)
+    doc, seal, bitmap = free_names(docs, "__doc", "__seal", "__bitmap")
+    marked = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), seal: F.xxhash64(F.coalesce("text", F.lit("")))})
+    bitmaps = keep_bitmaps(marked.select(F.col(doc).alias("doc"), F.col(seal).alias("seal"), "text"), min_chars, min_docs)
+    bitmaps = bitmaps.select(F.col("doc").alias(doc), F.col("seal").alias(seal), F.col("bitmap").alias(bitmap))
+    joined = marked.join(bitmaps, [doc, seal], "left").select(*columns(docs), bitmap)
+    schema = with_columns(docs.schema, **{name: "long" for name in counts})
+    return map_columns(joined, _apply(docs.columns.index("text"), schema.fieldNames()), schema)
