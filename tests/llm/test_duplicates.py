@@ -70,6 +70,10 @@ def test_line_dedup(spark):
     assert sorted(map(str, got)) == sorted(map(str, brute_lines(docs)))
     assert lines.dedup_lines(df).columns == ["doc_id", "text", "doc", "__n_lines", "__n_dropped"]
     assert lines.dedup_lines(df.limit(0)).count() == 0
+    odd = df.selectExpr("doc_id", "text", "doc `__doc`", "1 `__SEAL`", "2 `__bitmap`", "3 `__n_lines`", "4 `a.b`")
+    same = [(r["doc_id"], r["__n_lines"], r["__n_dropped"], r["text"] or "") for r in lines.dedup_lines(odd).collect()]
+    assert sorted(map(str, same)) == sorted(map(str, got))
+    assert lines.dedup_lines(odd).columns == ["doc_id", "text", "__doc", "__SEAL", "__bitmap", "a.b", "__n_lines", "__n_dropped"]
     rows = df.selectExpr("coalesce(doc_id, -1) doc", "xxhash64(coalesce(text, '')) seal", "text")
     for r in lines.keep_bitmaps(rows).collect():
         keep = np.unpackbits(np.frombuffer(zlib.decompress(r["bitmap"]), np.uint8), count=r["n_lines"])
@@ -238,6 +242,32 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), none).count() == 0
 
 
+def test_toxicity_of_odd_words_and_rows(spark):
+    """Short words, runs without spaces, very long texts, null and repeated doc_ids, columns of the result's name."""
+    rng = random.Random(14)
+    neutral = [f"word{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    docs, labels = [], []
+    for i in range(600):
+        words = [rng.choice(neutral) for _ in range(rng.randint(10, 60))]
+        if i % 6 == 0:
+            words.insert(rng.randrange(len(words)), "zq" if i % 4 == 0 else "oafish")
+        docs.append((i, " ".join(words), i))
+        labels.append((i, 1, int(i % 6 == 0)))
+    run = "".join(rng.choice(neutral) for _ in range(20_000))
+    odd = [(1000, run[:70_000] + "oafish" + run[70_000:], 0), (1001, run, 0), (1002, "zq", 0), (1003, "zqx", 0), (None, "oafish", 0), (None, "", 0), (7, docs[7][1], 0), (7, "oafish", 0)]
+    df = spark.createDataFrame(docs + odd, "doc_id long, text string, `__score` int").repartition(3)
+    table = spark.createDataFrame([*labels, (None, 1, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
+    scored = toxicity.score(df, toxicity.fit(df, table))
+    assert scored.columns == ["doc_id", "text", "__score"]
+    found = {(r["doc_id"], r["text"]): r["__score"] >= 0.5 for r in scored.collect()}
+    assert all(found[i, t] == (i % 6 == 0) for i, t, _ in docs)
+    assert [found[i, t] for i, t, _ in odd] == [True, False, True, False, True, False, False, True]
+    few, path = toxicity.training_rows(df, table, 100)
+    assert 60 <= few.count() <= 140
+    repeated = spark.createDataFrame([(1, f"text {i % 4}") for i in range(200)], "doc_id long, text string")
+    assert toxicity.training_rows(repeated, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), 10)[0].count() == 4
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(10)
     truth = rng.random(4000) < 0.3

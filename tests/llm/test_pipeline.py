@@ -63,3 +63,31 @@ def test_pipeline(spark, tmp_path):
             assert start == at and total == len(ids) and crc == zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes())
             at += length
         assert at == len(ids)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, null and repeated doc_ids, columns named like those that the stages add."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `__score` string, `__SEAL` int, `__doc` int, label string, `a.b` int, `__n_lines` int"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.columns == empty.columns and out.count() == 0
+    assert corpus_pipeline.pack(spark, empty, str(tmp_path)).count() == 0
+
+    line = "The same line that stands in every text"
+    texts = [(None, "one two three four five six seven\n" + line), (None, "other words stand in this one here\n" + line), (4, "a third text of its own words\n" + line), (4, line)]
+    texts += [(5, None), (5, None), (None, "")]
+    rows = [(i, t, "en", "s", len(t or ""), "x", 1, 2, "l", 3, 4) for i, t in texts]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    calm = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert sorted(map(str, calm.collect())) == sorted(map(str, docs.collect()))
+    cut = corpus_pipeline.drop_lines(spark, calm, str(tmp_path))
+    assert cut.columns == docs.columns
+    # three documents' worth of nothing: null ids are one document, so the line stands in two only
+    assert sorted(map(str, cut.collect())) == sorted(map(str, docs.collect()))
+    kept = corpus_pipeline.drop_near_duplicates(spark, cut, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    pieces = corpus_pipeline.pack(spark, kept, str(tmp_path)).collect()
+    assert len({(r["doc_id"], r["ids_crc32"]) for r in pieces if r["start"] == 0}) >= 5 and sum(r["start"] == 0 for r in pieces) == len(rows)
