@@ -138,8 +138,18 @@ def sanitize_error(message) -> Column:
 
 def report_key(message, src, dst) -> Column:
     """16 hexadecimal digits that name a kind of error: its sanitized text and the shapes of both paths."""
+    return shape_key(sanitize_error(message), path_pattern(src), path_pattern(dst))
+
+
+def shape_key(message, src, dst) -> Column:
+    """The same of a sanitized text and two shapes."""
     zero = F.chr(F.lit(0))
-    return fnv1a64_hex(F.concat(sanitize_error(message), zero, path_pattern(src), zero, path_pattern(dst)))
+    return fnv1a64_hex(F.concat(_col(message), zero, _col(src), zero, _col(dst)))
+
+
+def rate(count, seconds) -> Column:
+    """Whole things a second; null where no time has passed."""
+    return F.try_divide(_col(count).cast("double"), _col(seconds).cast("double")).cast("long")
 
 
 def base_name(path) -> Column:

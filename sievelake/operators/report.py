@@ -22,6 +22,16 @@ def keyed(errors: DataFrame) -> DataFrame:
     )
 
 
+def kinds(errors: DataFrame) -> DataFrame:
+    """Kinds of errors: key, errors (how many), and size, mode, err, src, dst of the first by size and shapes.
+    Rows are told apart by their shapes before any key is hashed: kinds are few, rows may be many."""
+    shapes = errors.select("size", "mode", S.sanitize_error("err").alias("err"), S.path_pattern("src_path").alias("src"), S.path_pattern("dst_path").alias("dst"))
+    by_shape = shapes.groupBy("err", "src", "dst").agg(F.count("*").alias("errors"), F.min(F.struct("size", "mode")).alias("first"))
+    keyed_shapes = by_shape.select(S.shape_key("err", "src", "dst").alias("key"), "errors", F.struct("first.size", "src", "dst", "first.mode", "err").alias("first"))
+    by_key = keyed_shapes.groupBy("key").agg(F.sum("errors").alias("errors"), F.min("first").alias("first"))
+    return by_key.select("key", "errors", "first.size", "first.mode", "first.err", "first.src", "first.dst")
+
+
 def known_keys(lines: DataFrame) -> DataFrame:
     """lines: value.  Comments and lines below 16 bytes don't count."""
     good = lines.where(~F.col("value").startswith("#") & (F.octet_length("value") >= 16))
@@ -52,7 +62,8 @@ def append(spark: SparkSession, errors: DataFrame, path: str, version: str, stam
     import os
 
     known = known_keys(spark.read.text(path)) if os.path.exists(path) else spark.createDataFrame([], "key string")
-    rows = [r["value"] for r in lines_of(new_entries(keyed(errors), known, ["size", "src", "dst"]), version, stamp).toLocalIterator()]
+    new = kinds(errors).join(known, "key", "left_anti").orderBy("size", "src", "dst")
+    rows = [r["value"] for r in lines_of(new, version, stamp).toLocalIterator()]
     if rows:
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
         fresh = not os.path.exists(path)

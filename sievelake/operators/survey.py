@@ -70,10 +70,18 @@ def progress(targets: DataFrame) -> DataFrame:
     return ranked(targets).select("rank", "size", "count", done.alias("done"), F.floor(done * 100 / whole).cast("long").alias("percent"))
 
 
-def display(targets: DataFrame, shown: int = 20) -> DataFrame:
+def remainder(targets: DataFrame, shown: int = 20, raw: bool = False) -> DataFrame:
+    """Rows that display leaves out, and the totals over all: more, files, savings_text."""
+    whole = target_totals(targets)
+    return whole.select(
+        F.greatest(F.col("targets") - shown, F.lit(0)).cast("long").alias("more"), F.col("expected_files").alias("files"), S.format_size("expected_savings", raw).alias("savings_text")
+    )
+
+
+def display(targets: DataFrame, shown: int = 20, raw: bool = False) -> DataFrame:
     """The first rows as text."""
     return ranked(targets).where(F.col("rank") <= shown).select(
-        "rank", S.format_size("size").alias("size_text"), S.format_count("count").alias("count_text"), S.format_size("savings").alias("savings_text")
+        "rank", S.format_size("size", raw).alias("size_text"), S.format_count("count").alias("count_text"), S.format_size("savings", raw).alias("savings_text")
     )
 
 
@@ -82,3 +90,9 @@ def memory_cost(files: DataFrame) -> DataFrame:
     names = files.groupBy("size").agg(F.sum(32 + F.octet_length("name")).alias("names"), F.count("*").alias("files"))
     folders = files.select("size", "dir").distinct().groupBy("size").agg(F.sum(64 + F.octet_length("dir")).alias("folders"))
     return names.join(folders, "size").select("size", "files", (F.col("names") + F.col("folders")).cast("long").alias("bytes"))
+
+
+def costliest(files: DataFrame) -> DataFrame:
+    """The size whose paths would take most memory; of several the largest.  No files: no row."""
+    most = memory_cost(files).agg(F.max(F.struct("bytes", "size", "files")).alias("m")).where("m is not null")
+    return most.select("m.size", "m.files", "m.bytes")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import notify
 from .functions import scalars as S
 from .operators import content, incremental, report, survey
-from .sources.tables import documents_as_files, with_shared_inode
+from .sources.tables import documents_as_files, with_shared_extents, with_shared_inode
 
 MIN_SIZE = 1024
 TOP = 10_000
@@ -31,13 +32,17 @@ def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.hashed(content.candidate_files(files, survey.candidates(survey.size_survey(files))))
 
 
-def _inodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = with_shared_inode(_files(spark, sf_dir)).drop("content")
-    return content.candidate_files(files, survey.candidates(survey.size_survey(files)))
+def _outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan as carried out on a machine where every source is a device of its own: what would have to share
+    data with another source fails."""
+    judged = content.judged(_hashed(spark, sf_dir))
+    apart = judged.where((F.col("action") == "dedup") & (F.col("source") != F.split("src", "/")[1]))
+    err = F.concat(F.lit("link "), "src", F.lit(" to "), "path", F.lit(": invalid cross-device link"))
+    return content.with_failures(judged, apart.select("path", err.alias("err")))
 
 
 def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survey.fingerprints(_files(spark, sf_dir).withColumn("name", F.concat("source", F.lit(".txt"))))
+    return survey.fingerprints(_files(spark, sf_dir))
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,19 +72,26 @@ def _extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = _errors(spark, sf_dir)
-    entries = report.keyed(errors)
-    known = report.keyed(errors.where("size % 2 = 0")).select(F.concat("key", F.lit(" 2024-01-01T00:00:00Z")).alias("value"))
-    new = report.new_entries(entries, report.known_keys(known), ["size", "src", "dst"])
-    return new.select("key", "size", "src", "dst")
+    """Kinds of errors of a run whose files can't be opened and can't be shared, after one that couldn't open them."""
+    before = _errors(spark, sf_dir).drop("doc_id")
+    lines = report.kinds(before).select(F.concat("key", F.lit(" 2024-01-01T00:00:00Z")).alias("value"))
+    now = report.kinds(before.unionByName(content.errors_of(_outcome(spark, sf_dir))))
+    return now.join(report.known_keys(lines), "key", "left_anti")
 
 
-def _webhook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = content.stats(_hashed(spark, sf_dir))
-    text = F.concat(
-        F.lit("host: /data\nDeduplicated "), S.format_count("files_deduped"), F.lit(", saved "), S.format_size("bytes_saved"), F.lit(", errors "), S.format_count("errors")
-    )
-    return s.select(F.to_json(F.struct(text.alias("text"))).alias("payload"))
+def _stamp():
+    return F.lit("2024-05-01 10:00:00").cast("timestamp")
+
+
+def _payload(spark: SparkSession, text: str | None) -> DataFrame:
+    return spark.createDataFrame([(text,)], "text string").select(F.to_json(F.struct("text")).alias("payload"))
+
+
+def _message(spark: SparkSession, sf_dir: str, outcome: DataFrame, alert: bool = False) -> DataFrame:
+    """A message's payload; its one row of statistics comes to the driver, as in a run."""
+    row = content.outcome_stats(outcome).first()
+    stats = notify.Stats(*(row[k] for k in ("bytes_saved", "files_deduped", "already_deduped", "errors")))
+    return _payload(spark, notify.alert_text(stats, "/data", "host") if alert else notify.update_text(stats, "/data", 0, dry_run=True, host="host"))
 
 
 def queries() -> dict:
@@ -101,7 +113,20 @@ def queries() -> dict:
         "dedup_stats": lambda s, d: content.stats(_hashed(s, d)),
         "group_stats": lambda s, d: content.group_stats(_hashed(s, d)),
         "idle_groups": lambda s, d: content.idle_groups(_hashed(s, d)),
-        "already_shared": lambda s, d: content.stats(_inodes(s, d)),
+        "already_shared": lambda s, d: content.stats(with_shared_inode(_hashed(s, d))),
+        "already_by_extents": lambda s, d: content.stats(with_shared_extents(_hashed(s, d))),
+        "run_errors": lambda s, d: content.errors_of(_outcome(s, d)),
+        "error_sizes": lambda s, d: content.error_sizes(_outcome(s, d)),
+        "error_stats": lambda s, d: content.outcome_stats(_outcome(s, d)),
+        "error_groups": lambda s, d: content.outcome_group_stats(_outcome(s, d)),
+        "hardlink_plan": lambda s, d: content.plan(_hashed(s, d), "hardlink"),
+        "verbose_lines": lambda s, d: content.verbose_lines(content.plan(_hashed(s, d))),
+        "sizes_not_shown": lambda s, d: survey.remainder(_targets(s, d)),
+        "costliest_size": lambda s, d: survey.costliest(_files(s, d)),
+        "scan_rate": lambda s, d: survey.totals(_files(s, d)).select("files", S.rate("files", F.lit(7)).alias("per_second"), S.rate("files", F.lit(0)).alias("at_once")),
+        "path_parts": lambda s, d: _pages(s, d).select("page_id", S.base_name("url").alias("base"), S.dir_name("url").alias("dir")),
+        "report_lines": lambda s, d: report.lines_of(report.kinds(content.errors_of(_outcome(s, d))), "1", _stamp()),
+        "alert_message": lambda s, d: _message(s, d, _outcome(s, d), alert=True),
         "same_extents": _extents,
         "verify_plan": lambda s, d: content.verify(content.plan(_hashed(s, d)), _hashed(s, d)),
         "savings_gap": lambda s, d: content.savings_gap(_hashed(s, d)),
@@ -112,16 +137,16 @@ def queries() -> dict:
         "changed_sizes": lambda s, d: incremental.next_targets(_survey(s, d), _prints(s, d), _cache(s, d), 500).select("size", "count", "savings"),
         "skipped_cached": lambda s, d: incremental.skipped(survey.candidates(_survey(s, d)), _prints(s, d), _cache(s, d)),
         "cache_prune": lambda s, d: incremental.pruned(_cache(s, d), _survey(s, d)).select("size", F.col("fp").cast("string").alias("fp")),
-        "cache_merge": lambda s, d: incremental.merged(_cache(s, d), _prints(s, d).where("size % 2 = 0")).select("size", F.col("fp").cast("string").alias("fp")),
+        "cache_merge": lambda s, d: incremental.merged(_cache(s, d), _prints(s, d)).select("size", F.col("fp").cast("string").alias("fp")),
         "format_size": lambda s, d: documents_as_files(s, d).select("doc_id", S.format_size(F.col("size") * F.col("size")).alias("text"), S.format_size("size", raw=True).alias("raw")),
         "format_count": lambda s, d: documents_as_files(s, d).select("doc_id", S.format_count((F.col("size") - 3000) * 1001).alias("text")),
         "format_eta": lambda s, d: documents_as_files(s, d).select("doc_id", S.format_eta(F.lit(60), F.col("doc_id"), F.lit(4096)).alias("text")),
         "path_pattern": lambda s, d: _pages(s, d).select("page_id", S.path_pattern("url").alias("pattern")),
         "char_classes": lambda s, d: _pages(s, d).select("page_id", S.char_classes("url").alias("classes")),
-        "sanitize_error": lambda s, d: _errors(s, d).select("doc_id", S.sanitize_error("err").alias("err")),
-        "report_keys": lambda s, d: report.keyed(_errors(s, d)).groupBy("key").agg(F.count("*").alias("errors")),
+        "sanitize_error": lambda s, d: _files(s, d).select("doc_id", S.sanitize_error(F.concat("path", F.lit(":"), "path", F.lit(" /"), "content")).alias("err")),
+        "report_keys": lambda s, d: report.kinds(_errors(s, d)).select("key", "errors"),
         "report_new_entries": _report_new,
-        "webhook_message": _webhook,
+        "webhook_message": lambda s, d: _message(s, d, content.judged(_hashed(s, d))),
     }
     return q
 
@@ -129,13 +154,13 @@ def queries() -> dict:
 # --- SQL ---------------------------------------------------------------------
 
 _F = f"""f0 AS (
-  SELECT doc_id, source, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, '/' || source || '/' || lang AS dir,
+  SELECT doc_id, source, lang, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, '/' || source || '/' || lang AS dir,
          doc_id || '.txt' AS name, CAST(octet_length(encode(text)) AS BIGINT) AS size, text AS content FROM documents
 ), f AS (SELECT * FROM f0 WHERE size > 0 AND size >= {MIN_SIZE}),
 sv AS (SELECT size, count(*) AS count, size * (count(*) - 1) AS savings FROM f GROUP BY size),
 tg AS (SELECT * FROM sv WHERE count >= 2 ORDER BY savings DESC, size DESC LIMIT {TOP}),
 rk AS (SELECT *, row_number() OVER (ORDER BY savings DESC, size DESC) AS rank FROM tg)"""
-_C = f"""{_F}, h AS (SELECT doc_id, source, path, name, size, sha256(content) AS sha FROM f WHERE size IN (SELECT size FROM sv WHERE count >= 2)),
+_C = f"""{_F}, h AS (SELECT doc_id, source, lang, path, name, size, sha256(content) AS sha FROM f WHERE size IN (SELECT size FROM sv WHERE count >= 2)),
 w AS (SELECT *, row_number() OVER (PARTITION BY size, sha ORDER BY octet_length(encode(path)), path) AS rn,
              first_value(path) OVER (PARTITION BY size, sha ORDER BY octet_length(encode(path)), path) AS src FROM h)"""
 
@@ -174,7 +199,19 @@ _SANITIZED = r"regexp_replace(err, '(^|[ :])/[^ :\n\t]+', '\1<path>', 'g')"
 _E = f"""{_F}, e AS (SELECT doc_id, size, 'open ' || path || ': permission denied' AS err, path AS src_path, path || '.bak' AS dst_path FROM f),
 ek AS (SELECT doc_id, size, {_hex16(_fnv('k'))} AS key, src, dst FROM (
   SELECT doc_id, size, {_SANITIZED} || chr(0) || {_pattern('src_path')} || chr(0) || {_pattern('dst_path')} AS k, {_pattern('src_path')} AS src, {_pattern('dst_path')} AS dst FROM e))"""
-_P = f"""{_F}, pr AS (SELECT size, (sum(x::HUGEINT) % 18446744073709551616)::HUGEINT AS fp FROM (SELECT size, {_fnv("(source || '.txt')")} AS x FROM f) GROUP BY size),
+_O = f"""{_C}, o AS (SELECT *, source <> split_part(src, '/', 2) AS failed, 'link ' || src || ' to ' || path || ': invalid cross-device link' AS err FROM w WHERE rn > 1)"""
+_OUTCOME = """CAST(coalesce(sum(size) FILTER (NOT failed), 0) AS BIGINT) AS bytes_saved, CAST(count(*) FILTER (NOT failed) AS BIGINT) AS files_deduped,
+    CAST(0 AS BIGINT) AS already_deduped, CAST(count(*) FILTER (failed) AS BIGINT) AS errors"""
+
+
+def _kinds(errors: str, name: str, src: str, dst: str) -> str:
+    """A table of kinds of errors, of which nth = 1 is the first row."""
+    return f"""{name}_shapes AS (SELECT size, {_SANITIZED} AS err, {_pattern(src)} AS src, {_pattern(dst)} AS dst FROM ({errors})),
+        {name}_keys AS (SELECT *, {_hex16(_fnv('(err || chr(0) || src || chr(0) || dst)'))} AS key FROM {name}_shapes),
+        {name} AS (SELECT *, CAST(count(*) OVER (PARTITION BY key) AS BIGINT) AS errors, row_number() OVER (PARTITION BY key ORDER BY size, src, dst, err) AS nth FROM {name}_keys)"""
+
+
+_P = f"""{_F}, pr AS (SELECT size, (sum(x::HUGEINT) % 18446744073709551616)::HUGEINT AS fp FROM (SELECT size, {_fnv("name")} AS x FROM f) GROUP BY size),
 ca AS (SELECT size, CASE WHEN size % 3 = 0 THEN 0 ELSE fp END AS fp FROM pr UNION ALL SELECT max(size) + 1, 1 FROM pr)"""
 
 
@@ -190,9 +227,10 @@ def oracle_sql() -> dict[str, str]:
         "target_totals": f"WITH {_F} SELECT {n} AS targets, CAST(coalesce(sum(count), 0) AS BIGINT) AS expected_files, CAST(coalesce(sum(savings), 0) AS BIGINT) AS expected_savings FROM tg",
         "bounded_survey": f"WITH {_F} SELECT * FROM sv ORDER BY savings DESC, size DESC LIMIT 200",
         "candidate_files": f"WITH {_F} SELECT path, size FROM f WHERE size IN (SELECT size FROM tg)",
-        "candidate_paths": f"WITH {_F} SELECT size, {n} AS files, string_agg(path, ',' ORDER BY path) AS paths FROM f WHERE size IN (SELECT size FROM tg) GROUP BY size",
+        "candidate_paths": f"""WITH {_F} SELECT size, part, {n} AS files, string_agg(path, ',' ORDER BY path) AS paths FROM (
+            SELECT f.size, path, ('0x' || substr(md5(path), 1, 8))::BIGINT % CAST(ceil(tg.count / 1000) AS BIGINT) AS part FROM f JOIN tg ON f.size = tg.size) GROUP BY size, part""",
         "content_groups": f"WITH {_C} SELECT size, count(DISTINCT sha) AS contents, {n} AS files, count(*) - count(DISTINCT sha) AS copies FROM h GROUP BY size",
-        "duplicate_pairs": f"WITH {_C} SELECT a.size, a.path AS path_a, b.path AS path_b FROM h a JOIN h b ON a.size = b.size AND a.sha = b.sha AND a.path < b.path",
+        "duplicate_pairs": f"WITH {_C} SELECT size, src AS path_a, path AS path_b FROM w WHERE rn > 1",
         "dedup_plan": f"WITH {_C} SELECT src, path AS dst, size, 'reflink' AS mode FROM w WHERE rn > 1",
         "dry_run_lines": f"WITH {_C} SELECT '[dry-run] dedup: ' || path || ' -> ' || src || ' (' || {_size('size')} || ')' AS line FROM w WHERE rn > 1",
         "dedup_stats": f"WITH {_C} SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_saved, {n} AS files_deduped, CAST(0 AS BIGINT) AS already_deduped, CAST(0 AS BIGINT) AS errors FROM w WHERE rn > 1",
@@ -202,6 +240,24 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT *, first_value(ino) OVER (PARTITION BY size, sha ORDER BY rn) AS ref FROM i)
             SELECT CAST(coalesce(sum(size) FILTER (ino <> ref), 0) AS BIGINT) AS bytes_saved, CAST(count(*) FILTER (ino <> ref) AS BIGINT) AS files_deduped,
                    CAST(count(*) FILTER (ino = ref) AS BIGINT) AS already_deduped, CAST(0 AS BIGINT) AS errors FROM r WHERE rn > 1""",
+        "already_by_extents": f"""WITH {_C}, i AS (SELECT *, CASE WHEN source <> (SELECT min(source) FROM h) THEN min(doc_id) OVER (PARTITION BY lang, sha) END AS place FROM w),
+            r AS (SELECT *, first_value(place) OVER (PARTITION BY size, sha ORDER BY rn) AS ref FROM i), j AS (SELECT *, coalesce(place = ref, false) AS already FROM r WHERE rn > 1)
+            SELECT CAST(coalesce(sum(size) FILTER (NOT already), 0) AS BIGINT) AS bytes_saved, CAST(count(*) FILTER (NOT already) AS BIGINT) AS files_deduped,
+                   CAST(count(*) FILTER (already) AS BIGINT) AS already_deduped, CAST(0 AS BIGINT) AS errors FROM j""",
+        "run_errors": f"WITH {_O} SELECT size, 'reflink' AS mode, err, src AS src_path, path AS dst_path FROM o WHERE failed",
+        "error_sizes": f"WITH {_O} SELECT DISTINCT size FROM o WHERE failed",
+        "error_stats": f"WITH {_O} SELECT {_OUTCOME} FROM o",
+        "error_groups": f"WITH {_O} SELECT size, {_OUTCOME} FROM o GROUP BY size",
+        "hardlink_plan": f"WITH {_C} SELECT src, path AS dst, size, 'hardlink' AS mode FROM w WHERE rn > 1",
+        "verbose_lines": f"WITH {_C} SELECT '    ' || path || ' -> ' || src AS line FROM w WHERE rn > 1",
+        "sizes_not_shown": f"WITH {_F} SELECT CAST(greatest(count(*) - 20, 0) AS BIGINT) AS more, CAST(coalesce(sum(count), 0) AS BIGINT) AS files, {_size('coalesce(sum(savings), 0)')} AS savings_text FROM tg",
+        "costliest_size": f"""WITH {_F}, m AS (SELECT size, {n} AS files, CAST(sum(32 + octet_length(encode(name))) + (SELECT sum(64 + octet_length(encode(dir))) FROM (SELECT DISTINCT size, dir FROM f) x WHERE x.size = f.size) AS BIGINT) AS bytes
+            FROM f GROUP BY size) SELECT * FROM m ORDER BY bytes DESC, size DESC LIMIT 1""",
+        "scan_rate": f"WITH {_F} SELECT {n} AS files, CAST(count(*) // 7 AS BIGINT) AS per_second, CAST(NULL AS BIGINT) AS at_once FROM f",
+        "path_parts": "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_replace(url, '/[^/]*$', '') AS dir FROM pages",
+        "report_lines": f"""WITH {_O}, {_kinds('SELECT * FROM o WHERE failed', 'k', 'src', 'path')}
+            SELECT key || ' 2024-05-01T10:00:00Z v=1 size=' || size || ' mode=reflink err="' || err || '" src={{' || src || '}} dst={{' || dst || '}}' AS value FROM k WHERE nth = 1""",
+        "alert_message": f"""WITH {_O} SELECT to_json({{'text': 'host: /data: ' || format('{{:,}}', count(*)) || ' errors need investigation'}})::VARCHAR AS payload FROM o WHERE failed""",
         "same_extents": "SELECT vec_id, vec_id % 5 <> 0 AND label = vec_id % 7 AS same FROM embeddings",
         "verify_plan": f"WITH {_C} SELECT {n} AS checked, CAST(count(*) FILTER (s.sha <> w.sha) AS BIGINT) AS mismatches FROM w JOIN h s ON s.path = w.src WHERE rn > 1",
         "savings_gap": f"WITH {_C} SELECT size, size * (count(*) - 1) AS promised, size * (count(*) - count(DISTINCT sha)) AS saved, size * (count(DISTINCT sha) - 1) AS gap FROM h GROUP BY size",
@@ -214,17 +270,19 @@ def oracle_sql() -> dict[str, str]:
         "changed_sizes": f"WITH {_P} SELECT size, count, savings FROM sv JOIN pr USING (size) WHERE count >= 2 AND (size, fp) NOT IN (SELECT (size, fp) FROM ca) ORDER BY savings DESC, size DESC LIMIT 500",
         "skipped_cached": f"WITH {_P} SELECT {n} AS skipped FROM sv JOIN pr USING (size) JOIN ca USING (size, fp) WHERE count >= 2",
         "cache_prune": f"WITH {_P} SELECT size, fp::VARCHAR AS fp FROM ca WHERE size IN (SELECT size FROM sv)",
-        "cache_merge": f"WITH {_P} SELECT ca.size, CASE WHEN pr.size IS NOT NULL THEN pr.fp ELSE ca.fp END::VARCHAR AS fp FROM ca LEFT JOIN pr ON ca.size = pr.size AND pr.size % 2 = 0",
+        "cache_merge": f"WITH {_P} SELECT coalesce(ca.size, pr.size) AS size, CASE WHEN pr.size IS NOT NULL THEN pr.fp ELSE ca.fp END::VARCHAR AS fp FROM ca FULL JOIN pr ON ca.size = pr.size",
         "format_size": f"WITH {_F} SELECT doc_id, {_size('(size * size)')} AS text, size::VARCHAR AS raw FROM f0",
         "format_count": f"WITH {_F} SELECT doc_id, format('{{:,}}', (size - 3000) * 1001) AS text FROM f0",
         "format_eta": """SELECT doc_id, CASE WHEN doc_id <= 0 OR doc_id > 4096 THEN '' WHEN l < 60 THEN printf('~%.0fs', l) WHEN l < 3600 THEN printf('~%.1fm', l / 60) ELSE printf('~%.1fh', l / 3600) END AS text
             FROM (SELECT doc_id, (4096 - doc_id)::DOUBLE / (nullif(doc_id, 0)::DOUBLE / 60) AS l FROM documents)""",
         "path_pattern": f"SELECT page_id, {_pattern('url')} AS pattern FROM pages",
         "char_classes": f"SELECT page_id, {_classes('url')} AS classes FROM pages",
-        "sanitize_error": f"WITH {_F} SELECT doc_id, {_SANITIZED} AS err FROM (SELECT doc_id, 'open ' || path || ': permission denied' AS err FROM f)",
+        "sanitize_error": f"WITH {_F} SELECT doc_id, {_SANITIZED} AS err FROM (SELECT doc_id, path || ':' || path || ' /' || content AS err FROM f)",
         "report_keys": f"WITH {_E} SELECT key, {n} AS errors FROM ek GROUP BY key",
-        "report_new_entries": f"""WITH {_E} SELECT key, size, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY size, src, dst) AS k FROM ek
-            WHERE key NOT IN (SELECT key FROM ek WHERE size % 2 = 0)) WHERE k = 1""",
-        "webhook_message": f"""WITH {_C}, s AS (SELECT coalesce(sum(size), 0)::BIGINT AS b, count(*) AS n FROM w WHERE rn > 1)
-            SELECT to_json({{'text': 'host: /data' || chr(10) || 'Deduplicated ' || format('{{:,}}', n) || ', saved ' || {_size('b')} || ', errors 0'}})::VARCHAR AS payload FROM s""",
+        "report_new_entries": f"""WITH {_O}, {_E[len(_F) + 2:]}, {_kinds('SELECT * FROM o WHERE failed', 'k', 'src', 'path')}
+            SELECT key, errors, size, 'reflink' AS mode, err, src, dst FROM k WHERE nth = 1 AND key NOT IN (SELECT key FROM ek)""",
+        "webhook_message": f"""WITH {_C}, s AS (SELECT coalesce(sum(size), 0)::BIGINT AS b, count(*) AS n FROM w WHERE rn > 1), t AS (SELECT CASE WHEN n = 0 THEN '[dry-run] host: /data: No changes (0.000s)'
+            ELSE concat_ws(chr(10), '[dry-run] host: /data', '', '| | |', '|-|-|', '| Deduplicated | ' || format('{{:,}}', n) || ' |', '| Saved | ' || {_size('b')} || ' |',
+                           '| Already shared | 0 |', '| Errors | 0 |', '| Time | 0.000s |') END AS text FROM s)
+            SELECT to_json({{'text': text}})::VARCHAR AS payload FROM t""",
     }

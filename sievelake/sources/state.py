@@ -1,7 +1,9 @@
 """State that lasts between runs: fingerprints by root and size, and the count of files.
 
-A state is a folder of Parquet that is written beside the old one and moved into
-its place; one that is missing or can't be read is an empty one.
+A state is a folder of numbered versions, each written whole by Spark; the largest
+one that carries Spark's mark of success is the state.  So a reader sees the old
+rows or the new ones and never none, on any file system that Spark can write.
+A state that is missing or can't be read is an empty one.
 """
 
 from __future__ import annotations
@@ -9,7 +11,6 @@ from __future__ import annotations
 import fcntl
 import hashlib
 import os
-import shutil
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
@@ -35,27 +36,53 @@ def meta_path(cache: str) -> str:
     return os.path.splitext(cache)[0] + ".meta"
 
 
+def report_path(folder: str, root: str) -> str:
+    return os.path.join(folder, f"{_fnv(root):016x}.log")
+
+
+def _store(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, jvm.org.apache.hadoop.fs.Path
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions, in order."""
+    store, at, place = _store(spark, path)
+    if not store.exists(at) or not store.getFileStatus(at).isDirectory():
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(at)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v-") and store.exists(place(f"{path}/{n}/_SUCCESS")))
+
+
+def version(spark: SparkSession, path: str) -> int:
+    """The number of the state's version; 0 where there is none."""
+    return (_versions(spark, path) or [0])[-1]
+
+
 def load(spark: SparkSession, path: str, schema: str = FINGERPRINTS) -> DataFrame:
     """The state at a path; empty where there is none that can be read."""
     try:
-        found = spark.read.schema(schema).parquet(path)
-        found.limit(1).collect()
-        return found
+        if found := _versions(spark, path):
+            rows = spark.read.schema(schema).parquet(f"{path}/v-{found[-1]:020d}")
+            rows.limit(1).collect()
+            return rows
     except (PySparkException, Py4JJavaError):
-        return spark.createDataFrame([], schema)
-
-
-def save(state: DataFrame, path: str) -> None:
-    """Replaces the state at a local path by one move; its own old rows may be part of the new ones."""
-    fresh, old = f"{path}.tmp", f"{path}.old"
-    shutil.rmtree(fresh, ignore_errors=True)
-    state.coalesce(1).write.parquet(fresh) if state.isEmpty() else state.write.parquet(fresh)
-    shutil.rmtree(old, ignore_errors=True)
-    if os.path.exists(path):
-        os.replace(path, old) if os.path.isdir(path) else os.remove(path)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    os.replace(fresh, path)
-    shutil.rmtree(old, ignore_errors=True)
+        pass
+    return spark.createDataFrame([], schema)
+
+
+def save(state: DataFrame, path: str, number: int | None = None) -> None:
+    """Adds a version, by default the next one.  Its rows may come from the version before, which stays;
+    older ones go."""
+    spark = state.sparkSession
+    store, at, place = _store(spark, path)
+    if store.exists(at) and not store.getFileStatus(at).isDirectory():
+        store.delete(at, False)  # not a state
+    number = version(spark, path) + 1 if number is None else number
+    state.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/v-{number:020d}")
+    for old in _versions(spark, path)[:-2]:
+        store.delete(place(f"{path}/v-{old:020d}"), True)
 
 
 @contextmanager
