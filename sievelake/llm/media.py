@@ -1,8 +1,8 @@
 """Texts kept as lossless WebP images, read back and described.
 
 Four bytes make one pixel (red, green, blue, alpha), 48 pixels a row.  A text of
-more than 16,384 rows is kept as several images, one file after the other.  Files
-depend on nothing but the text.  All work is local to a task: no shuffle.
+more than IMAGE_ROWS rows is kept as several images, one file after the other, so
+that a long text is decoded in many lanes.  Files depend on nothing but the text.  All work is local to a task: no shuffle.
 
 Defined results: a null text is an empty one, stored as one row of spaces;
 repeated rows get equal values; rows keep their other columns out; an empty table
@@ -23,6 +23,7 @@ from . import webp
 from .common import octets, parts
 
 WIDTH, ROW_BYTES = 48, 192
+IMAGE_ROWS = 1024
 CACHE_BITS = 10
 PALETTE_MOST = 16
 ENCODE_BYTES, DECODE_BYTES = 3 << 20, 16 << 20
@@ -75,7 +76,7 @@ def payload_of(text: bytes) -> bytes:
 def store(payloads: list[bytes]) -> list[bytes]:
     """A file, or several in a row, for each payload."""
     slices, owner = [], []
-    most = webp.SIDE_MOST * ROW_BYTES
+    most = IMAGE_ROWS * ROW_BYTES
     for k, p in enumerate(payloads):
         for a in range(0, len(p), most):
             slices.append(p[a : a + most])

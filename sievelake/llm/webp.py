@@ -450,6 +450,32 @@ def _predictions(done: np.ndarray, y: int, x: int, modes: np.ndarray, bits: int)
     return _predict(mode, done[y, x - 1], done[y - 1, x], tr, done[y - 1, x - 1])
 
 
+def _unpredicted(left: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
+    """Adds predictions to what they left.  A pixel rests on its left neighbour and on three above, up to one
+    to the right: pixels with equal x + 2 y don't rest on each other and are done at once."""
+    height, width, _ = left.shape
+    done = np.zeros((height, width, 4), np.int32)
+    done[0, 0] = (left[0, 0] + [0, 0, 0, 255]) & 255
+    done[0, 1:] = left[0, 1:]
+    done[0] = np.cumsum(done[0], 0) & 255
+    done[1:, 0] = left[1:, 0]
+    done[:, 0] = np.cumsum(done[:, 0], 0) & 255
+    per = -(-width // (1 << bits))
+    for front in range(3, width + 2 * height - 2):
+        y = np.arange(max(1, (front - width + 2) // 2), min(height - 1, (front - 1) // 2) + 1)
+        x = front - 2 * y
+        if not len(y):
+            continue
+        mode = modes[(y >> bits) * per + (x >> bits)]
+        # right of the last pixel of a row stands the first one of the row below
+        tr = np.where((x + 1 < width)[:, None], done[y - 1, np.minimum(x + 1, width - 1)], done[y, 0])
+        around = done[y, x - 1], done[y - 1, x], tr, done[y - 1, x - 1]
+        for m in np.unique(mode).tolist():
+            own = np.flatnonzero(mode == m)
+            done[y[own], x[own]] = (left[y[own], x[own]] + _predict(m, *(a[own] for a in around))) & 255
+    return done
+
+
 def _block_values(data: np.ndarray, bits: int, width: int, height: int) -> np.ndarray:
     per = -(-width // (1 << bits))
     y, x = np.arange(height) >> bits, np.arange(width) >> bits
@@ -465,11 +491,7 @@ def invert(kind: int, bits: int, data, width: int, image: np.ndarray) -> np.ndar
     height = image.shape[0]
     if kind == PREDICTOR:
         modes = ((data >> U32(8)) & U32(15)).astype(np.int64)
-        left, done = _channels(image), np.zeros((height, width, 4), np.int32)
-        for y in range(height):
-            for x in range(width):
-                done[y, x] = (left[y, x] + _predictions(done, y, x, modes, bits)) & 255
-        return _joined(done)
+        return _joined(_unpredicted(_channels(image), modes, bits))
     c = _channels(image)
     if kind == SUBTRACT_GREEN:
         c[..., 0] += c[..., 1]

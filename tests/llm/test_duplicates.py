@@ -150,6 +150,27 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
         assert sorted(str(tuple(r)) for r in got.collect()) == want
 
 
+def test_the_ways_beyond_broadcasts(spark, monkeypatch):
+    """What is done by shuffles where tables are too large to send to every task gives the same."""
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{rng.randint(0, 40)}" for _ in range(12)) + "\nA line that many of the texts share") for i in range(150)]
+    rows += [(i + 200, t + " end") for i, t in rows[:40]] + [(None, rows[3][1]), (7, rows[9][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    every = lambda d: sorted(str(tuple(r)) for r in d.collect())
+    near, cut = every(near_dup.near_duplicates(df, 3, 85)), every(lines.dedup_lines(df))
+    assert near == brute_near(rows, 3, 85)
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lines, "BROADCAST_TASKS", 0)
+    local = near_dup.components
+    monkeypatch.setattr(near_dup, "components", lambda links: local(links, local=0))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert every(near_dup.near_duplicates(df, 3, 85)) == near and every(lines.dedup_lines(df)) == cut
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 def test_block_links_are_a_forest():
     rng = np.random.default_rng(13)
     base = rng.integers(0, 1 << 62, 200).astype(np.uint64)

@@ -199,6 +199,15 @@ def test_longest_match_automaton():
         assert automaton.count(word) == piece_counts.greedy(word, set(pieces)), word
 
 
+def test_token_counts_of_odd_rows(spark):
+    schema = "doc_id long, text string, word string, n_tokens int"
+    rows = [(None, "two words", "x", 1), (None, "two words", "x", 2), (3, None, "x", 3), (3, "", "x", 4)]
+    got = piece_counts.count_tokens(spark.createDataFrame(rows, schema), PIECES).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "3", "None", "None"]
+    assert len({tuple(r) for r in got}) == 2
+    assert piece_counts.count_tokens(spark.createDataFrame([], schema), PIECES).count() == 0
+
+
 def test_token_counts(spark):
     every = piece_counts.read_pieces(PIECES)
     words = regex.compile(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
