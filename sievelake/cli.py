@@ -75,6 +75,8 @@ def _try(send, *args) -> None:
 def show(result: Result, quiet: bool = False, verbose: bool = False, raw: bool = False) -> None:
     """The table of targets with what it leaves out, the plan's lines and the summary."""
     if not quiet:
+        if result.files_before is not None:
+            print(f"files at the last run: {result.files_before:,}")
         for r in survey.display(result.targets, raw=raw).orderBy("rank").collect():
             print(f"{r['rank']:>5}  {r['size_text']:>12} x {r['count_text']:<8} {r['savings_text']}")
         rest = survey.remainder(result.targets, raw=raw).first()
