@@ -262,7 +262,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, visit=_lists, schema: str
         docs, _ = stored(docs, "texts")
     # the number of the input's partition, the same in both passes
     docs = docs.withColumn("task", F.spark_partition_id().cast("long"))
-    asked = docs.mapInArrow(_ask(n), PACKED).repartition(n, "part")
+    asked = docs.mapInArrow(_ask(n), PACKED).repartitionById(n, F.col("part").cast("int"))
     answered = asked.mapInArrow(_encode(ranks, pattern), PACKED)
-    together = answered.unionByName(docs.mapInArrow(_texts, PACKED)).repartition(n, "part").sortWithinPartitions("part", "kind", "seq")
+    # groups are about equal: dealt in turn by task and first block, no task gets many more than another
+    turn = F.pmod(F.shiftright("part", 32) + F.col("part").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(n)).cast("int")
+    together = answered.unionByName(docs.mapInArrow(_texts, PACKED)).repartitionById(n, turn).sortWithinPartitions("part", "kind", "seq")
     return together.mapInArrow(_joined(ranks, pattern, visit), schema)
