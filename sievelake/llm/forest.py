@@ -329,7 +329,9 @@ def _candidates(classes: DataFrame, model, kind: str, part: int) -> DataFrame:
 def _in_leaves(near: DataFrame, classes: DataFrame, kind: str, threshold: float, part: int) -> DataFrame:
     """Links a, b of each leaf's components.  near: leaf, class."""
     n = shuffle_partitions(classes.sparkSession)
-    sizes = near.groupBy("leaf").agg(F.ceil(F.count("*") / part).cast("int").alias("slots"))
+    # two slots meet in a task: together they hold at most about a part
+    held = F.count("*")
+    sizes = near.groupBy("leaf").agg(F.when(held <= part, 1).otherwise(F.ceil(2 * held / part)).cast("int").alias("slots"))
     slot = F.pmod("class", "slots").cast("int")
     rows = near.join(sizes, "leaf").withColumn("slot", slot).join(classes.select("class", "data"), "class")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
