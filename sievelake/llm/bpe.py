@@ -30,7 +30,7 @@ WHITE_SPACE = [
 ]
 
 #: Bytes of text that are handled as one batch; bounds the memory of a task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @lru_cache(maxsize=1)
