@@ -37,6 +37,7 @@ from .common import octets, parts, shuffle_partitions, stored
 #: A group ends with the block in which its distinct words or its texts' bytes pass these numbers; bounds
 #: a task's dictionary and what one key can bring to a task.
 GROUP_WORDS, GROUP_BYTES = 400_000, 32 << 20
+TEXT_BYTES = 4 << 20  # bytes of texts of a block; each block looks all its distinct words up
 PACKED = "part long, kind int, seq int, payload binary"
 
 
@@ -87,7 +88,7 @@ def _blocks(batches):
     for batch in batches:
         ids, raw = batch.column("doc_id"), octets(batch, "text")
         task = batch.column("task")[0].as_py() if batch.num_rows else 0
-        for i, j in parts(raw, bpe.BLOCK_BYTES):
+        for i, j in parts(raw, TEXT_BYTES):
             words = bpe.split_bytes(raw[i:j])
             names = ids.slice(i, j - i)
             keys = np.array([-(1 << 63) if x is None else x for x in names.to_pylist()], np.int64)
