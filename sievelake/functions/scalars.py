@@ -54,11 +54,8 @@ def format_eta(elapsed, current, total) -> Column:
 
 
 def fnv1a64_halves(text) -> Column:
-    """FNV-1a of the UTF-8 bytes as struct(high, low), 32 bits each in a BIGINT: no step overflows."""
-    c = _col(text)
-    digits, n = F.hex(F.encode(c, "UTF-8")), F.octet_length(c)
-    places = F.slice(F.sequence(F.lit(0), n), F.lit(2), n)
-    octets = F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    """FNV-1a of the UTF-8 bytes as struct(high, low), 32 bits each in a BIGINT: no step overflows.
+    The digits are a lambda's variable: as an expression they would be worked out again for each byte."""
 
     def step(state: Column, octet: Column) -> Column:
         low = state["low"].bitwiseXOR(octet)
@@ -66,8 +63,14 @@ def fnv1a64_halves(text) -> Column:
         high = state["high"] * FNV_PRIME_LOW + F.shiftrightunsigned(product, 32) + F.shiftleft(low, 8)
         return F.struct(high.bitwiseAND(F.lit(LOW32)).alias("high"), product.bitwiseAND(F.lit(LOW32)).alias("low"))
 
-    start = F.struct(F.lit(FNV_HIGH).cast("long").alias("high"), F.lit(FNV_LOW).cast("long").alias("low"))
-    return F.aggregate(octets, start, step)
+    def halves(digits: Column) -> Column:
+        n = F.shiftright(F.length(digits), 1)
+        places = F.slice(F.sequence(F.lit(0), n), F.lit(2), n)
+        octets = F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+        start = F.struct(F.lit(FNV_HIGH).cast("long").alias("high"), F.lit(FNV_LOW).cast("long").alias("low"))
+        return F.aggregate(octets, start, step)
+
+    return F.transform(F.array(F.hex(F.encode(_col(text), "UTF-8"))), halves)[0]
 
 
 def fnv1a64(text) -> Column:

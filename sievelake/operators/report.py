@@ -24,12 +24,15 @@ def keyed(errors: DataFrame) -> DataFrame:
 
 def kinds(errors: DataFrame) -> DataFrame:
     """Kinds of errors: key, errors (how many), and size, mode, err, src, dst of the first by size and shapes.
-    Rows are told apart by their shapes before any key is hashed: kinds are few, rows may be many."""
+    Rows are told apart by their shapes before any key is hashed: kinds are few, rows may be many.  The key that is
+    returned is an aggregate, not the grouping column: what a caller asks of it (filters, a semi or anti join) can't
+    be moved below both groupings, where it would hash a key for every row."""
     shapes = errors.select("size", "mode", S.sanitize_error("err").alias("err"), S.path_pattern("src_path").alias("src"), S.path_pattern("dst_path").alias("dst"))
     by_shape = shapes.groupBy("err", "src", "dst").agg(F.count("*").alias("errors"), F.min(F.struct("size", "mode")).alias("first"))
-    keyed_shapes = by_shape.select(S.shape_key("err", "src", "dst").alias("key"), "errors", F.struct("first.size", "src", "dst", "first.mode", "err").alias("first"))
-    by_key = keyed_shapes.groupBy("key").agg(F.sum("errors").alias("errors"), F.min("first").alias("first"))
-    return by_key.select("key", "errors", "first.size", "first.mode", "first.err", "first.src", "first.dst")
+    keyed_shapes = by_shape.select(S.shape_key("err", "src", "dst").alias("key"), "errors", "first.size", "src", "dst", "first.mode", "err")
+    first = F.min(F.struct("size", "src", "dst", "mode", "err", "key"))
+    by_key = keyed_shapes.groupBy("key").agg(F.sum("errors").alias("errors"), first.alias("first"))
+    return by_key.select("first.key", "errors", "first.size", "first.mode", "first.err", "first.src", "first.dst")
 
 
 def known_keys(lines: DataFrame) -> DataFrame:
